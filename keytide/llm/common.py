@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -60,12 +61,15 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame | None) -> None:
-        """Delete kept tables which no later result reads."""
+        """Delete kept tables which no later result reads, and let Spark delete the shuffles behind them."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for t in tables:
             if t is not None:
                 p = jvm.org.apache.hadoop.fs.Path(t._keytide_path)
                 p.getFileSystem(conf).delete(p, True)
+        # Spark deletes a shuffle's files once the driver's collectors have seen that nothing refers to it.
+        gc.collect()
+        jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

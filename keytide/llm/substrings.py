@@ -5,7 +5,9 @@ it whose 64-byte string has the least hash. The sample covers every 200-byte str
 in all of its copies, and of 70 positions about one is sampled. Equal suffixes are therefore in one bucket,
 and a bucket whose sample string stands only once is settled without its suffixes. In the other buckets
 samples with equal whole contexts (all bytes of the suffixes that share the sample) settle these suffixes at
-once; what remains, the ends of repeated passages, is ranked suffix by suffix by 128-bit names of its 200 bytes.
+once. The rest is cut into blocks of 16 suffixes, counted from the sample: equal blocks settle theirs, and a block
+whose core (the 185 bytes in all of its suffixes) stands only once has no repeated suffix. What remains, the ends of
+repeated passages, is named suffix by suffix by 128 bits of its 200 bytes.
 
 This takes the place of a difference cover of fixed positions, which must sort one suffix in eight
 (README). All steps are partial aggregates and joins of plain tables: no bucket is gathered in a task.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from keytide.llm.bytehash import BLOCK, Prefix, U, blocks, mix
 from keytide.llm.common import Scratch, documents, ship, text_of
 
-LENGTH, SAMPLE = 200, 64
+LENGTH, SAMPLE, STEP = 200, 64, 16
 #: A longer text is read in pieces of so many suffixes.
 PIECE = 1 << 22
 
@@ -55,7 +57,7 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...] | None:
-    """Text, first and last suffix, sample hash and context hash of each run of suffixes that share a sample."""
+    """Text, first and last suffix, sample, its hash and the context's hash of each run of suffixes that share a sample."""
     if len(data) < LENGTH:
         return None
     p = Prefix(data)
@@ -76,18 +78,46 @@ def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...] | None:
     end[-1] = True
     hi = np.flatnonzero(end & ok)
     context = mix(p.of(lo, hi + LENGTH) + (hi - lo).astype(U) * U(0x9FB21C651E98DF25) + (place[lo] - lo).astype(U))
-    return doc[lo], lo - offs[doc[lo]], hi - offs[doc[lo]], h[place[lo]].view(np.int64), context.view(np.int64)
+    begin = offs[doc[lo]]
+    return doc[lo], lo - begin, hi - begin, place[lo] - begin, h[place[lo]].view(np.int64), context.view(np.int64)
 
 
 def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, rid, text -> doc_id, rid, lo, hi, h, c."""
+    """doc_id, rid, text -> doc_id, rid, lo, hi, at, h, c."""
     for batch in batches:
         for i, j, data, offs in blocks(batch.column("text")):
             for part, shift in pieces(offs):
                 got = runs(data[part[0] : part[-1]], part - part[0])
                 if got is not None:
                     row = pa.array(i + got[0] if len(part) == len(offs) else np.full(len(got[0]), i))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("rid").take(row), pa.array((got[1] + shift).astype(np.int32)), pa.array((got[2] + shift).astype(np.int32)), pa.array(got[3]), pa.array(got[4])], ["doc_id", "rid", "lo", "hi", "h", "c"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("rid").take(row), pa.array((got[1] + shift).astype(np.int32)), pa.array((got[2] + shift).astype(np.int32)), pa.array((got[3] + shift).astype(np.int32)), pa.array(got[4]), pa.array(got[5])], ["doc_id", "rid", "lo", "hi", "at", "h", "c"])
+
+
+def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For counts ``n``: the number of the owner and the place within it, of each of their sum."""
+    own = np.repeat(np.arange(len(n)), n)
+    return own, np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def suffix_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, rid, text, runs (lo, hi, at, copies) -> doc_id, rid, lo, hi, core, c, copies of blocks of suffixes."""
+    for batch in batches:
+        lists = batch.column("runs")
+        for i, j, data, offs in blocks(batch.column("text")):
+            p, part = Prefix(data), lists.slice(i, j - i)
+            row, flat = np.repeat(np.arange(j - i), part.value_lengths().to_numpy()), part.flatten()
+            lo, hi, at, copies = (flat.field(f).to_numpy().astype(np.int64) for f in ("lo", "hi", "at", "copies"))
+            own, k = spread((at - lo) // STEP - (at - hi) // STEP + 1)
+            k += ((at - hi) // STEP)[own]
+            begin, core = offs[row[own]], at[own] - STEP * k
+            a, b = np.maximum(lo[own], core - STEP + 1), np.minimum(hi[own], core)
+            d = mix(p.of(begin + core, begin + core + LENGTH - STEP + 1) + k.astype(U)).view(np.int64)
+            c = mix(p.of(begin + a, begin + b + LENGTH) + (b - a).astype(U) * U(0x9FB21C651E98DF25) + (core - a).astype(U)).view(np.int64)
+            take = pa.array(i + row[own])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(take), batch.column("rid").take(take), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(d), pa.array(c), pa.array(copies[own].astype(np.int32))],
+                ["doc_id", "rid", "lo", "hi", "core", "c", "copies"],
+            )
 
 
 def suffix_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,15 +131,15 @@ def suffix_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = part.flatten()
             lo, hi, copies = (flat.field(f).to_numpy().astype(np.int64) for f in ("lo", "hi", "copies"))
             n = hi - lo + 1
-            for a in range(0, len(lo), 4096):
-                z = slice(a, a + 4096)
-                first = np.repeat(np.concatenate([[0], np.cumsum(n[z])[:-1]]), n[z])
-                s = np.repeat(lo[z], n[z]) + np.arange(len(first)) - first
-                own = np.repeat(row[z], n[z])
+            for first in range(0, len(lo), 4096):
+                z = slice(first, first + 4096)
+                of, s = spread(n[z])
+                s += lo[z][of]
+                own = row[z][of]
                 at = offs[own] + s
                 take = pa.array(i + own)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("rid").take(take), pa.array(s.astype(np.int32)), pa.array(p.of(at, at + LENGTH).view(np.int64)), pa.array(q.of(at, at + LENGTH).view(np.int64)), pa.array(np.repeat(copies[z], n[z]).astype(np.int32))],
+                    [batch.column("doc_id").take(take), batch.column("rid").take(take), pa.array(s.astype(np.int32)), pa.array(p.of(at, at + LENGTH).view(np.int64)), pa.array(q.of(at, at + LENGTH).view(np.int64)), pa.array(copies[z][of].astype(np.int32))],
                     ["doc_id", "rid", "s", "x", "y", "copies"],
                 )
 
@@ -136,31 +166,49 @@ class RepeatedStrings:
 
     def __init__(self, docs: DataFrame) -> None:
         ship(docs.sparkSession)
-        s = Scratch(docs.sparkSession)
+        self.scratch = s = Scratch(docs.sparkSession)
         # The text's own hash beside the id, as ids may repeat.
         self.texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("rid", F.xxhash64("text"))
         self.id_type = dict(self.texts.dtypes)["doc_id"]
         ids = f"doc_id {self.id_type}, rid long"
-        samples = s.keep(self.texts.mapInArrow(sampled, f"{ids}, lo int, hi int, h long, c long"))
+        samples = s.keep(self.texts.mapInArrow(sampled, f"{ids}, lo int, hi int, at int, h long, c long"))
         twice = s.keep(samples.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
-        met = s.keep(samples.join(twice, "h"))
+        met = s.keep(samples.join(twice, "h").withColumn("copies", F.lit(1)))
         s.drop(samples, twice)
-        whole = s.keep(met.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.min("rid").alias("r"), F.min("lo").alias("l")).where("m > 1").select("c", "r", "l"))
-        judged = s.keep(met.join(whole, "c", "left"))
-        s.drop(met, whole)
-        # Suffixes to be named: those of unequal contexts, and for each equal context in such a bucket those of
-        # the rows at one place, which count as two each.
-        ends = s.keep(judged.where("r is null").select("h").distinct())
-        one = judged.where("r is not null and rid = r").join(ends, "h").select("doc_id", "rid", "lo", "hi", F.lit(2).alias("copies"))
-        open_ = judged.where("r is null").select("doc_id", "rid", "lo", "hi", F.lit(1).alias("copies")).union(one)
-        lists = s.keep(open_.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("lo", "hi", "copies")).alias("runs")))
+        runs, whole = self.settled(met, "h", "at")
+        lists = s.keep(runs.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("lo", "hi", "at", "copies")).alias("runs")))
+        s.drop(met, runs)
+        parts = s.keep(self.joined(lists).mapInArrow(suffix_blocks, f"{ids}, lo int, hi int, core long, c long, copies int"))
+        twice = s.keep(parts.groupBy("core").agg(F.sum("copies").alias("m")).where("m > 1").select("core"))
+        s.drop(lists)
+        met = s.keep(parts.join(twice, "core"))
+        s.drop(parts, twice)
+        parts, some = self.settled(met, "core")
+        lists = s.keep(parts.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("lo", "hi", "copies")).alias("runs")))
+        s.drop(met, parts)
         named = s.keep(self.joined(lists).mapInArrow(suffix_names, f"{ids}, s int, x long, y long, copies int"))
-        s.drop(ends, lists)
+        s.drop(lists)
         again = s.keep(named.groupBy("x", "y").agg(F.sum("copies").alias("m")).where("m > 1").select("x", "y"))
         single = named.where("copies = 1").join(again, ["x", "y"]).select("doc_id", "rid", F.col("s").alias("lo"), F.col("s").alias("hi"))
-        found = judged.where("r is not null").select("doc_id", "rid", "lo", "hi").union(single)
+        found = whole.union(some).union(single)
         self.gone = s.keep(found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")))
-        s.drop(judged, named, again)
+        s.drop(whole, some, named, again)
+
+    def settled(self, met: DataFrame, bucket: str, *more: str) -> tuple[DataFrame, DataFrame]:
+        """Of rows (doc_id, rid, lo, hi, bucket, c, copies): those still open, and the spans of rows with an equal context.
+
+        To the open rows belong, of each equal context in the bucket of an open row, the rows of one text, for two copies
+        each: the others could equal them in part.
+        """
+        s, columns = self.scratch, ("doc_id", "rid", "lo", "hi", *more, "copies")
+        equal = s.keep(met.groupBy(bucket, "c").agg(F.sum("copies").alias("m"), F.min("rid").alias("r")).where("m > 1").select(bucket, "c", "r"))
+        judged = s.keep(met.join(equal, [bucket, "c"], "left"))
+        ends = s.keep(judged.where("r is null").select(bucket).distinct())
+        one = judged.where("rid = r").join(ends, bucket).withColumn("copies", F.lit(2))
+        rows = s.keep(judged.where("r is null").select(*columns).union(one.select(*columns)))
+        spans = s.keep(judged.where("r is not null and copies = 1").select("doc_id", "rid", "lo", "hi"))
+        s.drop(equal, judged, ends)
+        return rows, spans
 
     def joined(self, lists: DataFrame, how: str = "inner") -> DataFrame:
         right = lists.withColumnsRenamed({"doc_id": "_id", "rid": "_rid"})
