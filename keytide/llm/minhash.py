@@ -9,8 +9,8 @@ thousand), and a link needs an exact Jaccard of 0.8 or more between the whole se
 
 Texts of equal word sequences are one class from the start, so groups of copies have one row in
 every later step. In a bucket, members are first compared with one member, and components are formed;
-what is still apart is compared with another member; what is then still apart is compared in pairs,
-only across components. So no link is lost and no group of near copies is expanded into pairs.
+what is still apart is compared with another member; what is then still apart is compared in blocks of
+bounded size, which send spanning links only. So no link is lost and no group of near copies is expanded into pairs.
 
 Result: one row for each document with the smallest id of its group. Defined cases: a text without words
 (null included) is a group of its own; a null id gives a null class unless its group has others;
@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keytide.llm.bytehash import Prefix, U, blocks, mix, shingles, word_bounds, word_digest
-from keytide.llm.common import Scratch, components, documents, ship
+from keytide.llm.common import Scratch, components, documents, ship, shuffle_partitions
 
 K, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
+#: Most shingles and rows of one side of a block, in which what is still apart is compared.
+BLOCK_ITEMS, BLOCK_ROWS = 1 << 20, 2048
 
 
 def probminhash(doc: np.ndarray, item: np.ndarray, weight: np.ndarray, docs: int, m: int) -> np.ndarray:
@@ -110,6 +112,63 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many items each two of the sets share; columns in portions, so that memory depends on the number of sets."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    items, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = count > 1
+    place = np.cumsum(often) - 1
+    row, column = row[often[column]], place[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(column, (first, first + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[row[a:b], column[a:b] - first] = 1
+        out += part @ part.T
+    return out
+
+
+def block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows h, i, j, cid, label, items sorted by block -> for each row with a link to another component one link a, b."""
+    rest: pa.Table | None = None
+
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        cid, label = t["cid"].to_numpy(), t["label"].to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), U) for x in t["items"]]
+        n = np.array([len(x) for x in sets], np.float32)
+        same = common(sets)
+        hit = (same >= LEAST * (n[:, None] + n[None, :] - same) - 1e-6) & (label[:, None] != label[None, :])
+        near = np.arange(len(cid))
+        while True:  # the least row of each component that links make of the block
+            least = np.minimum(near, np.where(hit, near[None, :], len(cid)).min(1))
+            least = least[least]
+            if (least == near).all():
+                break
+            near = least
+        on = np.flatnonzero(near != np.arange(len(cid)))
+        # Rows of a component are linked to its least row: they are of one group, though perhaps not alike.
+        yield pa.RecordBatch.from_arrays([pa.array(cid[on]), pa.array(cid[near[on]])], ["a", "b"])
+
+    def cut(t: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+        key = np.stack([t[c].to_numpy() for c in ("h", "i", "j")])
+        ends = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, [t.num_rows]])
+        for a, b in zip(ends[:-1], ends[1:] if whole else ends[1:-1], strict=False):
+            if b - a > 1:
+                yield from of(t.slice(a, b - a))
+        nonlocal rest
+        rest = None if whole else t.slice(ends[-2])
+
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if t.num_rows:
+            yield from cut(t, False)
+    if rest is not None and rest.num_rows:
+        yield from cut(rest, True)
+
+
 def passed_digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Any columns and text -> the same and _kt_cid."""
     for batch in batches:
@@ -139,7 +198,7 @@ class NearDuplicates:
         labels = components(s, links)
         for pairs in (self.star, self.across):
             apart = self.apart(labels)
-            more = s.keep(self.verified(pairs(apart)))
+            more = s.keep(pairs(apart))
             s.drop(apart)
             if more.limit(1).count():
                 links = s.keep(links.union(more))
@@ -166,15 +225,18 @@ class NearDuplicates:
         self.scratch.drop(named, open_)
         return out
 
-    @staticmethod
-    def star(apart: DataFrame) -> DataFrame:
-        return apart.where("label != y").select(F.col("cid").alias("a"), F.col("center").alias("b")).distinct()
-
-    @staticmethod
-    def across(apart: DataFrame) -> DataFrame:
-        x, y = apart.select("h", F.col("cid").alias("a"), F.col("n").alias("m"), F.col("label").alias("p")), apart.select("h", F.col("cid").alias("b"), "n", F.col("label").alias("q"))
-        near = (F.col("p") < F.col("q")) & (F.least("m", "n") >= LEAST * F.greatest("m", "n"))
-        return x.join(y, "h").where(near).select("a", "b").distinct()
+    def star(self, apart: DataFrame) -> DataFrame:
+        """Links of the members to one member of another component."""
+        return self.verified(apart.where("label != y").select(F.col("cid").alias("a"), F.col("center").alias("b")).distinct())
+
+    def across(self, apart: DataFrame) -> DataFrame:
+        """Links between components of a bucket, found in blocks of bounded size; a block sends a spanning set of its links."""
+        parts = apart.groupBy("h").agg(F.greatest(F.ceil(F.sum("n") / float(BLOCK_ITEMS)), F.ceil(F.count(F.lit(1)) / float(BLOCK_ROWS))).cast("int").alias("parts"))
+        met = apart.select("h", "cid", "label").join(self.scratch.keep(parts), "h").withColumn("side", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+        met = met.select("h", "cid", "label", "side", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")).join(self.sets, "cid")
+        met = met.select("h", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "cid", "label", "items")
+        dealt = met.repartition(shuffle_partitions(apart.sparkSession), "h", "i", "j").sortWithinPartitions("h", "i", "j")
+        return dealt.mapInArrow(block_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -315,3 +315,19 @@ def test_pipeline(spark, sf):
         docs = spark.createDataFrame(rows, out.schema)
     assert n[1] < n[0] and n[2] < n[1] and n[3] == n[2]
     assert p.run(spark, sf).count() == n[-1]
+
+
+def test_common_counts_and_blocks():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 400))).astype(np.uint64) for _ in range(40)] + [np.arange(9000, dtype=np.uint64)] * 2
+    want = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+    got = minhash.common(sets)
+    assert all(got[i, j] == want[i][j] for i in range(len(sets)) for j in range(len(sets)) if i != j)
+    base = np.arange(100, dtype=np.uint64)
+    rows = [(h, 0, 0, 10 * h + k, 10 * h + k, (base + np.uint64(5 * k)).tobytes()) for h in range(3) for k in range(6)]
+    schema = pa.schema([("h", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("cid", pa.int64()), ("label", pa.int64()), ("items", pa.binary())])
+    table = pa.table([list(c) for c in zip(*rows, strict=True)], schema=schema)
+    found = [(r["a"], r["b"]) for b in minhash.block_links(iter(table.to_batches(max_chunksize=4))) for r in b.to_pylist()]
+    assert brute.groups([r[3] for r in rows], found) == {10 * h + k: 10 * h for h in range(3) for k in range(6)}
