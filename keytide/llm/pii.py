@@ -225,7 +225,10 @@ def redact(docs: DataFrame, least: float = 0.7) -> DataFrame:
     Overlapping spans (a card number inside a phone number) are replaced as one. The texts are scanned
     twice, so that none is shuffled. A text without spans stays as it is, null included.
     """
-    model = fit(candidates(docs.select("text"), []).drop("_t"))
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.keep(candidates(docs.select("text"), []).drop("_t"))
+    model = fit(found)
+    scratch.drop(found)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
     d = decided(candidates(row, ["_row"]), model, least)
     kind = "array<struct<s:int,e:int,kind:string>>"
