@@ -146,15 +146,12 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, rules: QualityRules | N
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, rules: QualityRules | None = None) -> DataFrame:
-    """Rows of ``docs`` that the rules keep, with their columns as they were. The texts are read twice: no text is shuffled."""
+    """Rows of ``docs`` that the rules keep, with their columns as they were. Counts are worked out once and written down beside the rows."""
     rules, scratch = rules or QualityRules(), Scratch(docs.sparkSession)
-    feats = scratch.keep(features(docs.select("doc_id", "text", stratum().alias("stratum")), ["doc_id", "stratum"]))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "doc_id", "text", stratum().alias("stratum"))
+    feats = scratch.keep(features(row, ["_row", "doc_id", "stratum"]))
     cutoffs = rules.fit(feats, labels)
-    scratch.drop(feats)
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("text").alias("text"), stratum().alias("stratum"))
-    # A filter isn't moved below a column that depends on the partition: the counts would be worked out anew in it.
-    judged = features(row, ["_row", "stratum"]).withColumn("_here", F.spark_partition_id())
-    return judged.where((F.col("_here") >= 0) & ~base_failed() & rules.passes(cutoffs)).select("_row.*")
+    return feats.where(~base_failed() & rules.passes(cutoffs)).select("_row.*")
 
 
 def op5_quality_rules(spark, sf_dir):
