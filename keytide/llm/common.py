@@ -130,3 +130,16 @@ def components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -
         if not changed:
             scratch.drop(links)
             return labels
+
+
+def extended(scratch: Scratch, labels: DataFrame, more: DataFrame) -> DataFrame:
+    """``labels`` of :func:`components` with further edges (a, b); only the labels which these join are worked on again."""
+    ends = more
+    for c in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"_{c}")), c, "left")
+    tops = components(scratch, ends.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")))
+    moved = labels.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    fresh = tops.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    out = scratch.keep(moved.union(fresh))
+    scratch.drop(tops)
+    return out

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keytide.llm.bytehash import Prefix, U, blocks, mix, shingles, word_bounds, word_digest
-from keytide.llm.common import Scratch, components, documents, ship, shuffle_partitions
+from keytide.llm.common import Scratch, components, documents, extended, ship, shuffle_partitions
 
 K, BANDS, ROWS, LEAST = 5, 25, 5, 0.8
 #: Most shingles and rows of one side of a block, in which what is still apart is compared.
@@ -201,9 +201,8 @@ class NearDuplicates:
             more = s.keep(pairs(apart))
             s.drop(apart)
             if more.limit(1).count():
-                links = s.keep(links.union(more))
-                s.drop(labels)
-                labels = components(s, links)
+                was, labels = labels, extended(s, labels, more)
+                s.drop(was)
             s.drop(more)
         s.drop(self.sets, self.members)
         named = s.keep(reps.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("label", "cid").alias("label")))

@@ -331,3 +331,18 @@ def test_common_counts_and_blocks():
     table = pa.table([list(c) for c in zip(*rows, strict=True)], schema=schema)
     found = [(r["a"], r["b"]) for b in minhash.block_links(iter(table.to_batches(max_chunksize=4))) for r in b.to_pylist()]
     assert brute.groups([r[3] for r in rows], found) == {10 * h + k: 10 * h for h in range(3) for k in range(6)}
+
+
+def test_extended_components(spark):
+    """Labels extended by further links are those of all links together; nodes may be new, loops and repeats stand among the links."""
+    from keytide.llm.common import Scratch, components, extended
+
+    rng = np.random.default_rng(8)
+    first = [(int(a), int(b)) for a, b in rng.integers(0, 60, (30, 2))] + [(7, 7), (1, 2), (2, 1)]
+    more = [(int(a), int(b)) for a, b in rng.integers(0, 90, (25, 2))] + [(80, 80), (1, 2)]
+    schema, scratch = "a long, b long", Scratch(spark)
+    labels = components(scratch, spark.createDataFrame(first, schema))
+    found = {r.node: r.label for r in extended(scratch, labels, spark.createDataFrame(more, schema)).collect()}
+    want = brute.groups(range(90), first + more)
+    assert all(found.get(i, i) == want[i] for i in range(90))
+    assert len(found) == len(set(found)) and {r.node: r.label for r in extended(scratch, labels, spark.createDataFrame([], schema)).collect()} == {r.node: r.label for r in labels.collect()}
