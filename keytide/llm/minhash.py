@@ -1,11 +1,12 @@
 """Near-duplicate documents by ProbMinHash.
 
-A document is its distinct five-word shingles, each weighing ``1 + ln(count)``. Every shingle sends a
-Poisson process of arrivals with its weight as rate; an arrival falls on a register drawn at random
-and a register keeps the shingle that arrived first. A document's processes end as soon as no later
-arrival can come first anywhere. Two documents agree in a register with the probability Jaccard of
-their weighted shingles. Registers are banded (25 bands of 5 find a pair at 0.8 but for one in twenty
-thousand), and a link needs an exact Jaccard of 0.8 or more between the whole sets of shingles.
+A document is its distinct five-word shingles. Every shingle sends a Poisson process of arrivals with
+its weight as rate; an arrival falls on a register drawn at random and a register keeps the shingle that
+arrived first. A document's processes end as soon as no later arrival can come first anywhere. Two
+documents agree in a register with the probability Jaccard of their weighted shingles. All weights are
+equal, however often a shingle is repeated: then this is the plain Jaccard, by which links are defined.
+Registers are banded (25 bands of 5 find a pair at 0.8 but for one in twenty thousand), and a link needs
+an exact Jaccard of 0.8 or more between the whole sets of shingles.
 
 Texts of equal word sequences are one class from the start, so groups of copies have one row in
 every later step. In a bucket, members are first compared with one member, and components are formed;
@@ -69,10 +70,9 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # 20 bits of the text in front, so that one sort groups the shingles of each text.
             key = np.sort((doc.astype(U) << U(44)) | (h >> U(20)))
             new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-            count = np.diff(np.append(new, len(key)))
             key = key[new]
             doc = (key >> U(44)).astype(np.int64)
-            sig = probminhash(doc, key & U((1 << 44) - 1), 1 + np.log(count), j - i, BANDS * ROWS)
+            sig = probminhash(doc, key & U((1 << 44) - 1), np.ones(len(key)), j - i, BANDS * ROWS)
             band = np.zeros((j - i, BANDS), dtype=U)
             for r in range(ROWS):
                 band = mix(band + sig.reshape(j - i, BANDS, ROWS)[:, :, r])

@@ -50,6 +50,19 @@ def test_near_duplicates_keep_every_link(spark):
     assert found == brute.near(docs)
 
 
+def test_near_duplicates_with_repeated_lines(spark):
+    """Pairs above the bound, of which one text repeats a third of its lines a hundred times."""
+    docs = []
+    for p in range(40):
+        lines = [" ".join(f"p{p}l{i}w{j}" for j in range(12)) for i in range(40)]
+        other = ["\n".join([x] * 100) if i < 13 else x for i, x in enumerate(lines[:38])] + [f"new{p} {x}" for x in lines[38:]]
+        docs += [(2 * p, "\n".join(lines)), (2 * p + 1, "\n".join(other))]
+    want = brute.near(docs)
+    assert all(want[2 * p + 1] == 2 * p for p in range(40))
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(frame(spark, docs)).collect()}
+    assert found == want
+
+
 def test_near_dedup_returns_rows(spark, docs):
     kept = minhash.near_dedup(docs)
     assert kept.schema == docs.schema
