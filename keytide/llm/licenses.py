@@ -4,9 +4,16 @@ Templates are cut into words (ASCII letters in lower case, digits and all other
 separates). Of the hashes of each ``window`` following three-word strings of a template the least
 is kept with its places: an inverted index, whose size is bounded by the templates, a parameter. Every three-word
 string of a document is looked up in it, so any five words in a row that a document shares with a
-template are noticed. Hits of a template on neighbouring diagonals make a candidate region, in which a local
-alignment within a band of ``BAND`` diagonals counts the template's matched words. A match is reported if these are
-``LEAST`` of the template's words or more; of overlapping matches the one with more matched words.
+template are noticed. Hits of a template on neighbouring diagonals, none more than ``REACH`` words of the template
+after the one before, make a candidate region, in which a local alignment within a band of ``BAND`` diagonals counts
+the template's matched words; the region grows until the alignment ends inside it. A match, of a part of a template
+too, is reported with its coverage if it has ``FLOOR`` matched words, or ``LEAST`` of a template so short that
+this is less. Of matches that overlap by half of the smaller one or more, the one with more matched words, to
+which up to ``FILLED`` words are added in proportion to its coverage, as words may match by chance beside a whole
+notice. Long regions come first; those inside a longer match are not aligned.
+
+Templates are short notices (``TEMPLATES``), which are tried first in a tie, and the whole texts in ``license_texts``,
+named ``<license>-text``. Words that several licenses share go to the template with the most matched words.
 
 A document is settled in one task; nothing is shuffled.
 
@@ -19,6 +26,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +36,7 @@ from pyspark.sql import DataFrame
 from keytide.llm.bytehash import Prefix, U, blocks, mix, word_bounds
 from keytide.llm.common import documents, ship
 
-K, WINDOW, BAND, LEAST = 3, 3, 8, 0.75
+K, WINDOW, BAND, REACH, LEAST, FLOOR, FILLED, LONG = 3, 3, 8, 64, 0.75, 7, 4, 128
 
 #: Short notices and first paragraphs of public licenses.
 TEMPLATES = {
@@ -53,8 +62,36 @@ TEMPLATES = {
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "GPL-3.0-short": "Licensed under the GNU General Public License v3.",
+    "GPL-2.0-short": "Licensed under the GNU General Public License v2.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "BSD-line": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "EPL-2.0-line": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
 }
 
+
+@lru_cache(maxsize=1)
+def all_templates() -> dict[str, str]:
+    """The notices and the whole texts; read on the driver only."""
+    texts = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return TEMPLATES | {f"{f.stem}-text": f.read_text(encoding="utf-8") for f in texts}
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 GAP = np.ones(256, bool)
@@ -76,10 +113,12 @@ def grams(words: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class Index:
     names: tuple[str, ...]
-    words: tuple[np.ndarray, ...]
     prints: np.ndarray  # sorted fingerprints, with the template and place of each
     template: np.ndarray
     place: np.ndarray
+    flat: np.ndarray  # the words of all templates, with the first of each template and their number
+    first: np.ndarray
+    size: np.ndarray
 
 
 def index(templates: dict[str, str]) -> Index:
@@ -94,66 +133,116 @@ def index(templates: dict[str, str]) -> Index:
                 j = i + int(np.argmin(h[i : i + WINDOW]))
                 found.add((int(h[j]), t, j))
     rows = sorted(found)
-    return Index(tuple(templates), tuple(words), np.array([r[0] for r in rows], U), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
-
-
-def align(template: np.ndarray, text: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """Local alignment within ``BAND`` of a diagonal (place in text less place in template): matched words, first and last word + 1."""
-    t, x = template.tolist(), text.tolist()
-    best = (0, 0, 0, 0)  # score, matched, first, end
-    row: dict[int, tuple[int, int, int]] = {}
-    for i, w in enumerate(t):
-        new: dict[int, tuple[int, int, int]] = {}
-        for d in range(-BAND, BAND + 1):
-            j = i + diagonal + d
-            if not 0 <= j < len(x):
-                continue
-            # (score, matched, first): from the same diagonal, or by skipping a word of either side.
-            s, m, f = row.get(d, (0, 0, j))
-            hit = w == x[j]
-            options = [(s + 2, m + 1, f) if hit else (s - 1, m, f)]
-            if (up := row.get(d + 1)) is not None:
-                options.append((up[0] - 1, up[1], up[2]))
-            if (left := new.get(d - 1)) is not None:
-                options.append((left[0] - 1, left[1], left[2]))
-            top = max(options)
-            if top[0] <= 0:
-                continue
-            new[d] = top
-            if top[0] > best[0]:
-                best = (top[0], top[1], top[2], j + 1)
-        row = new
-    return best[1:]
-
-
-def scan(words: np.ndarray, idx: Index, least: float) -> list[tuple[int, int, int, int]]:
-    """(template, matched, first word, last word + 1) of the matches in one text."""
-    h = grams(words)
+    size = np.array([len(w) for w in words], np.int64)
+    prints, template, place = np.array([r[0] for r in rows], U), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+    return Index(tuple(templates), prints, template, place, np.concatenate([*words, np.zeros(0, U)]), np.cumsum(size) - size, size)
+
+
+#: A state of the alignment in one number, compared as (score, matched words, first word less the least possible one).
+SCORE, MATCHED = 1 << 42, 1 << 21
+
+
+def align(text: np.ndarray, rows: tuple[np.ndarray, np.ndarray, np.ndarray], diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Local alignments of parts of templates (all words, starts and lengths, longest first), each within ``BAND`` of its
+    diagonal (place in text less place in the part): matched words, first and last word + 1, last place in the part.
+    The first word counts from ``diagonal - BAND``."""
+    flat, start, length = rows
+    n, width = len(start), 2 * BAND + 1
+    col = np.arange(width)
+    matched, first, end, last = (np.zeros(n, np.int64) for _ in range(4))
+    top = np.zeros(n, np.int64)
+    state = np.zeros((n, width), np.int64)
+    for i in range(int(length.max(initial=0))):
+        live = int(np.count_nonzero(length > i))
+        s = state[:live]
+        j = (diagonal[:live] + (i - BAND))[:, None] + col
+        inside = (j >= 0) & (j < len(text))
+        hit = inside & (text[np.clip(j, 0, len(text) - 1)] == flat[start[:live] + i][:, None])
+        # From the same diagonal, or by skipping a word of either side.
+        new = np.where(s > 0, s, i + col) + np.where(hit, 2 * SCORE + MATCHED, -SCORE)
+        new[:, :-1] = np.maximum(new[:, :-1], np.where(s[:, 1:] > 0, s[:, 1:] - SCORE, -SCORE))
+        new = np.where(inside, new, -(1 << 60))
+        new = np.maximum.accumulate(new + col * SCORE, axis=1) - col * SCORE
+        new = np.where(inside & (new >= SCORE), new, 0)
+        state[:live] = new
+        score = new >> 42
+        k = score.argmax(1)
+        at = np.flatnonzero(score[np.arange(live), k] > top[:live])
+        if len(at):
+            v = new[at, k[at]]
+            top[at], matched[at], first[at] = v >> 42, (v & (SCORE - 1)) >> 21, v & (MATCHED - 1)
+            end[at], last[at] = j[at, k[at]] + 1, i
+    return matched, first, end, last
+
+
+def regions(idx: Index, h: np.ndarray) -> np.ndarray:
+    """Rows (template, diagonal, first and last place in the template) of the regions with hits of three-word strings ``h``."""
     lo, hi = np.searchsorted(idx.prints, h), np.searchsorted(idx.prints, h, "right")
-    at = np.flatnonzero(hi > lo)
-    hits = sorted((int(idx.template[e]), int(p) - int(idx.place[e])) for p in at for e in range(lo[p], hi[p]))
-    regions: list[list[int]] = []
-    for t, d in hits:  # neighbouring diagonals of a template
-        if regions and regions[-1][0] == t and d - regions[-1][1] <= BAND // 2:
-            regions[-1][2] = d
-        else:
-            regions.append([t, d, d])
-    found = []
-    for t, d, _ in regions:
-        template = idx.words[t]
-        a = max(0, d - BAND)
-        m, f, e = align(template, words[a : d + len(template) + BAND], d - a)
-        if m >= least * len(template):
-            found.append((-m, t, f + a, e + a))
+    n = hi - lo
+    p = np.repeat(np.arange(len(h)), n)
+    e = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+    t, place = idx.template[e], idx.place[e]
+    d = p - place
+    order = np.lexsort((place, d, t))
+    t, place, d = t[order], place[order], d[order]
+    new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1])]))[: len(t)]
+    base, lead = [], (-1, 0)
+    for a, b in zip(t[new].tolist(), d[new].tolist(), strict=True):  # neighbouring diagonals of a template
+        if a != lead[0] or b - lead[1] > BAND // 2:
+            lead = (a, b)
+        base.append(lead[1])
+    d = np.repeat(np.array(base, np.int64), np.diff(np.append(new, len(t))))
+    order = np.lexsort((place, d, t))
+    t, place, d = t[order], place[order], d[order]
+    cut = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (d[1:] != d[:-1]) | (place[1:] - place[:-1] > REACH)]))[: len(t)]
+    last = np.append(cut[1:], len(t)) - 1
+    return np.stack([t[cut], d[cut], place[cut], place[last[: len(cut)]]], axis=1)
+
+
+def aligned(words: np.ndarray, idx: Index, todo: np.ndarray, least: float, floor: int) -> set[tuple[int, int, int, int]]:
+    """(template, matched, first word, last word + 1) of the alignments in regions ``todo`` with enough words."""
+    found = set()
+    pad = np.full(len(todo), REACH // 2)
+    while len(todo):
+        size = idx.size[todo[:, 0]]
+        a, b = np.maximum(0, todo[:, 2] - pad), np.minimum(size, todo[:, 3] + K + pad)
+        order = np.argsort(a - b, kind="stable")
+        todo, pad, size, a, b = todo[order], pad[order], size[order], a[order], b[order]
+        grow = np.zeros(len(todo), bool)
+        for i in range(0, len(todo), 4096):
+            part = slice(i, i + 4096)
+            t, ta, tb = todo[part, 0], a[part], b[part]
+            m, f, e, last = align(words, (idx.flat, idx.first[t] + ta, tb - ta), todo[part, 1] + ta)
+            grow[part] = ((ta > 0) & (f <= 3 * BAND)) | ((tb < size[part]) & (last >= tb - ta - 1 - BAND))
+            ok = ~grow[part] & (m >= np.minimum(floor, least * size[part]))
+            found.update(zip(t[ok].tolist(), m[ok].tolist(), (f + todo[part, 1] + ta - BAND)[ok].tolist(), e[ok].tolist(), strict=True))
+        todo, pad = todo[grow], pad[grow] * 2
+    return found
+
+
+def choose(found: set[tuple[int, int, int, int]], idx: Index) -> list[tuple[int, int, int, int]]:
     chosen: list[tuple[int, int, int, int]] = []
-    for m, t, f, e in sorted(set(found)):
-        if all(e <= c[2] or f >= c[3] for c in chosen):
-            chosen.append((t, -m, f, e))
+    for x in sorted(found, key=lambda x: (-x[1] - FILLED * x[1] / int(idx.size[x[0]]), *x)):
+        if all(2 * (min(x[3], c[3]) - max(x[2], c[2])) < min(x[3] - x[2], c[3] - c[2]) for c in chosen):
+            chosen.append(x)
     return sorted(chosen, key=lambda c: c[2])
 
 
-def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    idx = index(templates or TEMPLATES)
+def scan(words: np.ndarray, idx: Index, least: float, floor: int) -> list[tuple[int, int, int, int]]:
+    """(template, matched, first word, last word + 1) of the matches in one text."""
+    todo = regions(idx, grams(words))
+    rows = todo[:, 3] - todo[:, 2]
+    found = aligned(words, idx, todo[rows > LONG], least, floor)
+    todo = todo[rows <= LONG]
+    a, b = todo[:, 1] + todo[:, 2] - REACH // 2, todo[:, 1] + todo[:, 3] + K + REACH // 2
+    free = np.ones(len(todo), bool)
+    for _, m, f, e in choose(found, idx):
+        free &= (np.maximum(a, 0) < f) | (np.minimum(b, len(words)) > e) | (b - a > m)
+    return choose(found | aligned(words, idx, todo[free], least, floor), idx)
+
+
+def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, floor: int = FLOOR) -> DataFrame:
+    idx = index(templates or all_templates())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,9 +252,9 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, le
                 hit = np.flatnonzero(idx.prints[np.minimum(near, len(idx.prints) - 1)] == g) if len(g) else g
                 out = []
                 for d in np.unique(np.searchsorted(at, hit, "right") - 1):
-                    for t, m, f, e in scan(words[at[d] : at[d + 1]], idx, least):
+                    for t, m, f, e in scan(words[at[d] : at[d + 1]], idx, least, floor):
                         lead = lambda n, d=d: int(np.count_nonzero((data[offs[d] : n] & 0xC0) != 0x80))
-                        size = len(idx.words[t])
+                        size = int(idx.size[t])
                         out.append((i + d, idx.names[t], m, size, m / size, lead(starts[at[d] + f]), lead(ends[at[d] + e - 1])))
                 if out:
                     c = list(zip(*out, strict=True))

@@ -303,6 +303,34 @@ def test_license_scan(spark):
     assert not found[3] and not found[4] and not found[5] and len(found[6]) == 2
 
 
+def test_license_bodies_and_parts(spark):
+    """Whole texts, bodies without their first paragraph, and notices cut in half."""
+    t = licenses.all_templates()
+    words = lambda name, a, b: " ".join(t[name].split()[a:b])
+    noise = "some other words that stand here "
+    cases = {
+        "Apache-2.0-text": (words("Apache-2.0-text", 300, 900), 0.3, 0.5),
+        "GPL-3.0-text": (t["GPL-3.0-text"], 1, 1),
+        "GPL-2.0-text": (words("GPL-2.0-text", 1000, 1500), 0.1, 0.3),
+        "BSD-3-Clause-text": (t["BSD-3-Clause-text"], 1, 1),
+        "MIT-text": (words("MIT-text", 80, 166), 0.4, 0.6),
+        "ISC-text": (t["ISC-text"], 1, 1),
+        "Unlicense-text": (t["Unlicense-text"], 1, 1),
+        "CC0-1.0-text": (t["CC0-1.0-text"], 1, 1),
+        "EPL-1.0-text": (words("EPL-1.0-text", 500, 900), 0.2, 0.3),
+        "GPL-3.0": (words("GPL-3.0", 0, 25), 0.5, 0.7),
+        "GPL-3.0-line": ("this work is licensed under the GNU General", 0.6, 0.7),
+        "GPL-3.0-short": ("licensed under the GNU General Public License v3", 1, 1),
+        "Apache-2.0-line": (t["Apache-2.0-line"] + " the", 1, 1),
+    }
+    found = defaultdict(list)
+    for r in licenses.license_matches(frame(spark, [(i, noise + x + "\n" + noise) for i, (x, _, _) in enumerate(cases.values())])).collect():
+        found[r.doc_id].append(r)
+    for i, (name, (x, low, high)) in enumerate(cases.items()):
+        assert [r.license for r in found[i]] == [name], (name, found[i])
+        assert low <= found[i][0].coverage <= high and found[i][0].end - found[i][0].start >= 0.9 * len(x.rstrip(" the")) - 20
+
+
 def test_empty_tables(none, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
