@@ -7,6 +7,9 @@ ranges where the exact bytes before a row pass a whole share of the total: the m
 group decides, or of the row itself for the groups above ``tolerance`` of a share, which are subdivided
 by id. Law ``bytes``: a shard misses an equal share by at most one such group or document at each end.
 
+The exact sums decide alone: ranges follow the order of the hashes, so without the drawn splitters no
+row of the result would differ.
+
 All of it is DataFrame functions; texts are read once. On the driver there are the splitters (``shards
 * fine``) and the shards' counts. Groups above the tolerance are fewer than ``shards / tolerance``,
 so their hashes can be broadcast.
