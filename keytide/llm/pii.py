@@ -3,8 +3,8 @@
 Strict patterns give the base spans (email, ip, card, phone), which always stay. Loose patterns give
 further candidates (written-out addresses, phone numbers without a country code, numbers in the form
 of US social security numbers). On every candidate five labelers vote for (1), against (-1) or not at
-all (0): the strict pattern, a check of its parts (Luhn sum, address range, gazetteers of top-level
-domains and calling codes), cue words before it in four languages, signs of something else before it
+all (0): the strict pattern, a check of its parts (leading digit of a card, address range, a gazetteer of
+top-level domains, the North American form of phone numbers; other country codes get no vote), cue words before it in four languages, signs of something else before it
 (prices, versions, part numbers), and whether it stands alone. Expectation-maximisation over the counts
 of vote patterns estimates how reliable each labeler is and how likely each pattern is personal data;
 a logistic span classifier is trained on these soft labels and decides about the candidates that are
