@@ -10,12 +10,13 @@ all sizes; no target exceeds ``cap`` times its source's size and the excess is s
 
 The place in the row is found without a task that holds a source: rows are dealt by ranges of
 (source, size, id), each range is counted, and a rank is the count of lower ranges plus the rank
-within the range. All of it is DataFrame functions; texts are read once. Only the table of sources
-(one row each) meets in one task.
+within the range. The same is done for the table of sources, of which there may be any number. All of it is DataFrame
+functions; texts are read once.
 
 Defined cases: a null text has size 0; a document of size 0 may be taken but adds nothing; null is a
-source of its own; a source without words has target 0; repeated rows are documents of their own; an
-empty table gives an empty result. Columns other than doc_id, text and source are not read.
+source of its own; a source without words has target 0; repeated rows are documents of their own; ties of size go
+by id; a long text is one document; an empty table gives an empty result. Columns other than doc_id, text and source
+are not read; ``mixed_documents`` returns all columns, and none may be named ``_kt_uid``.
 """
 
 from __future__ import annotations
@@ -28,26 +29,40 @@ from keytide.llm.common import Scratch, before, documents, placed, text_of, word
 WEIGHTS = (3, 1, 2)
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
+def running(rows: DataFrame, lower: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """``rows`` (dealt by ``order``) with sums over all rows before each, of which ``lower`` has those of lower ranges."""
+    w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    for k, v in sums.items():
+        rows = rows.withColumn(f"_own_{k}", F.coalesce(v.over(w), F.lit(0)))
+    rows = rows.join(lower, "_pid")
+    for k in sums:
+        rows = rows.withColumn(k, F.col(k) + F.col(f"_own_{k}"))
+    return rows.drop(*(f"_own_{k}" for k in sums))
+
+
+def targets(scratch: Scratch, sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Of a table (no_source, source_key, source_size), a row a source, the same with ``target``."""
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_name = Window.orderBy("no_source", "source_key")
-    lower = Window.orderBy("ratio", "no_source", "source_key").rowsBetween(Window.unboundedPreceding, -1)
-    t = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int")))
-    t = t.withColumn("limit", cap * F.col("source_size")).withColumn("ratio", F.col("limit") / F.col("weight"))
-    t = t.withColumn("all", F.sum("source_size").over(everything) * budget).withColumn("weight_sum", F.sum("weight").over(everything))
-    t = t.withColumn("c", F.coalesce(F.sum("limit").over(lower), F.lit(0.0))).withColumn("w", F.coalesce(F.sum("weight").over(lower), F.lit(0)))
+    by_name = [F.col("no_source"), F.col("source_key")]
+    named = placed(scratch, sizes, *by_name)
+    place = running(named, before(named, [], place=F.count(F.lit(1))), by_name, place=F.count(F.lit(1)))
+    t = place.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")))
+    t = t.withColumn("limit", cap * F.col("source_size")).withColumn("ratio", F.col("limit") / F.col("weight")).drop("_pid", "place")
+    by_ratio = [F.col("ratio"), *by_name]
+    t = placed(scratch, t, *by_ratio)
+    every = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    sums = {"c": F.sum("limit"), "w": F.sum("weight")}
+    t = running(t, before(t, [], **sums), by_ratio, **sums)
     # A source stops at its limit if all could have its ratio within the budget.
-    t = t.withColumn("stops", F.col("c") + F.col("ratio") * (F.col("weight_sum") - F.col("w")) <= F.col("all"))
-    stopped = lambda c: F.sum(F.when(F.col("stops"), F.col(c)).otherwise(F.lit(0))).over(everything)
-    t = t.withColumn("level", (F.col("all") - stopped("limit")) / F.nullif(F.col("weight_sum") - stopped("weight"), F.lit(0)))
-    return t.select("no_source", "source_key", "source_size", F.when(F.col("stops"), F.col("limit")).otherwise(F.least("limit", F.col("level") * F.col("weight"))).cast("double").alias("target"))
+    t = scratch.keep(t.withColumn("stops", F.col("c") + F.col("ratio") * (every.weight - F.col("w")) <= every.size * budget))
+    stopped = t.where("stops").agg(F.coalesce(F.sum("limit"), F.lit(0.0)).alias("limit"), F.coalesce(F.sum("weight"), F.lit(0)).alias("weight")).first()
+    level = (every.size * budget - stopped.limit) / (every.weight - stopped.weight) if every.weight > stopped.weight else 0.0
+    return t.select("no_source", "source_key", "source_size", F.when(F.col("stops"), F.col("limit")).otherwise(F.least("limit", F.lit(level) * F.col("weight"))).cast("double").alias("target"))
 
 
 def copies_of(scratch: Scratch, base: DataFrame, seed: int, **how) -> DataFrame:
     """``base``: doc_id, no_source, source_key, size and others, written down. Adds source_size, target and copies."""
     keys = ["no_source", "source_key"]
-    goal = scratch.keep(targets(base.groupBy(*keys).agg(F.sum("size").alias("source_size")), **how))
+    goal = targets(scratch, base.groupBy(*keys).agg(F.sum("size").alias("source_size")), **how)
     rows = placed(scratch, base, F.col("no_source"), F.col("source_key"), F.desc("size"), F.col("doc_id"))
     lower = scratch.keep(before(rows, keys, lower=F.count(F.lit(1))))
     w = Window.partitionBy("_pid", *keys).orderBy(F.desc("size"), "doc_id")
@@ -76,15 +91,15 @@ def mix(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, seed: int = 7, **how) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, with their columns as they were.
 
-    Copies are found on narrow rows and joined to the texts by id; rows that share an id are taken alike
-    (as often as the first of them).
+    Rows are numbered as they are written down; copies are found on narrow rows and joined to the texts by
+    that number, so rows that share an id are judged each on its own.
     """
     scratch = Scratch(docs.sparkSession)
-    out = copies_of(scratch, scratch.keep(sized(docs)), seed, **how)
-    taken = out.groupBy("doc_id").agg(F.max("copies").alias("_kt_copies")).where("_kt_copies > 0")
-    taken = scratch.keep(taken.withColumnRenamed("doc_id", "_kt_id"))
-    d = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_kt_id")))
-    return d.select(*(docs[f"`{c}`"] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_kt_copies").cast("int"))).alias("_kt_copy")).drop("_kt_copy")
+    rows = scratch.keep(docs.withColumn("_kt_uid", F.monotonically_increasing_id()))
+    out = copies_of(scratch, scratch.keep(sized(rows, "_kt_uid")), seed, **how)
+    taken = scratch.keep(out.where("copies > 0").select("_kt_uid", F.col("copies").cast("int").alias("_kt_copies")))
+    d = rows.join(taken, "_kt_uid")
+    return d.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_kt_copies"))).alias("_kt_copy")).drop("_kt_copy")
 
 
 def op3_source_mixing(spark, sf_dir):
