@@ -15,9 +15,10 @@ bounded size, which send spanning links only. So no link is lost and no group of
 
 Result: one row for each document with the smallest id of its group. Defined cases: a text without words
 (null included) is a group of its own; a null id gives a null class unless its group has others;
-repeated rows share a class; empty tables give empty results; texts of one to four words have one
+repeated rows and ids share nothing but what their texts share; a tie of the smallest id (a repeated row) leaves one
+row; a long text is compared whole; empty tables give empty results; texts of one to four words have one
 shingle of all their words. Classes are told apart by 64 bits of their words' hash. Other columns
-are not read by ``near_duplicates``; ``near_dedup`` returns all.
+are not read by ``near_duplicates``; ``near_dedup`` returns all, and none may be named ``_kt_cid`` or ``_kt_want``.
 """
 
 from __future__ import annotations
@@ -62,7 +63,7 @@ def block_words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, cid (null without words), n (shingles), bands."""
+    """doc_id, th, text -> doc_id, th, cid (null without words), n (shingles), bands."""
     for batch in batches:
         for i, j, data, offs in blocks(batch.column("text")):
             words, at = block_words(data, offs)
@@ -80,7 +81,8 @@ def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = np.diff(at) > 0
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(full * BANDS)]), pa.int32()), pa.array(band[full].ravel()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(i, j - i), pa.array(word_digest(words, at), mask=~full), pa.array(np.bincount(doc, minlength=j - i).astype(np.int32)), bands], ["doc_id", "cid", "n", "bands"]
+                [batch.column("doc_id").slice(i, j - i), batch.column("th").slice(i, j - i), pa.array(word_digest(words, at), mask=~full), pa.array(np.bincount(doc, minlength=j - i).astype(np.int32)), bands],
+                ["doc_id", "th", "cid", "n", "bands"],
             )
 
 
@@ -183,16 +185,18 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame) -> None:
         ship(docs.sparkSession)
         self.scratch = s = Scratch(docs.sparkSession)
-        narrow = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+        narrow = docs.select("doc_id", docs["text"].cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
         id_type = dict(narrow.dtypes)["doc_id"]
-        self.rows = s.keep(narrow.mapInArrow(signatures, f"doc_id {id_type}, cid long, n int, bands array<long>"))
-        reps = s.keep(self.rows.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep")))
+        self.rows = s.keep(narrow.select("doc_id", "th", "text").mapInArrow(signatures, f"doc_id {id_type}, th long, cid long, n int, bands array<long>"))
+        # Ids may be null or repeated: with the text's hash they name one row, or rows that are alike.
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "th"))
+        reps = s.keep(self.rows.where("cid is not null").groupBy("cid").agg(first.alias("r")).select("cid", F.col("r.doc_id").alias("rep"), F.col("r.th").alias("rep_th")))
         spread = self.rows.where("cid is not null").select("cid", "n", F.explode("bands").alias("h"))
         shared = s.keep(spread.groupBy("h").agg(F.min("cid").alias("lo"), F.max("cid").alias("hi")).where("lo < hi"))
         self.members = s.keep(spread.join(shared, "h").distinct())
         s.drop(shared)
-        near = self.members.select("cid").distinct().join(reps, "cid").withColumnRenamed("rep", "_rep")
-        texts = narrow.join(near, narrow["doc_id"].eqNullSafe(F.col("_rep"))).select("text", "cid")
+        near = self.members.select("cid").distinct().join(reps, "cid")
+        texts = narrow.join(near, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "cid")
         self.sets = s.keep(texts.mapInArrow(shingle_sets, "cid long, items binary").groupBy("cid").agg(F.any_value("items").alias("items")))
         links = s.keep(self.verified(self.members.where("cid != lo").select(F.col("cid").alias("a"), F.col("lo").alias("b")).distinct()))
         labels = components(s, links)
