@@ -9,12 +9,17 @@ once. The rest is cut into blocks of 16 suffixes, counted from the sample: equal
 whose core (the 185 bytes in all of its suffixes) stands only once has no repeated suffix. What remains, the ends of
 repeated passages, is named suffix by suffix by 128 bits of its 200 bytes.
 
+Distinct texts are found first and numbered as they are written down; all further steps are between them, and a text
+that stands more than once counts twice, is repeated as a whole and needs no search of its own. So neither repeated
+rows nor equal or null ids make a step larger.
+
 This takes the place of a difference cover of fixed positions, which must sort one suffix in eight
 (README). All steps are partial aggregates and joins of plain tables: no bucket is gathered in a task.
 
 Defined cases: a null text has no bytes; a text under 200 bytes repeats nothing; matches don't cross texts;
-repeated rows repeat each other; null ids are allowed; an empty table gives an empty result. Other
-columns are not read.
+repeated rows repeat each other; null ids are allowed; a very long text is read in pieces that overlap, and found whole;
+of strings that tie in their hash the first is the sample; an empty table gives an empty result. Other
+columns are not read. Texts are told apart by 128 bits of their hashes.
 """
 
 from __future__ import annotations
@@ -83,14 +88,14 @@ def runs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...] | None:
 
 
 def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, rid, text -> doc_id, rid, lo, hi, at, h, c."""
+    """tid, copies, text -> tid, copies, lo, hi, at, h, c."""
     for batch in batches:
         for i, j, data, offs in blocks(batch.column("text")):
             for part, shift in pieces(offs):
                 got = runs(data[part[0] : part[-1]], part - part[0])
                 if got is not None:
                     row = pa.array(i + got[0] if len(part) == len(offs) else np.full(len(got[0]), i))
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("rid").take(row), pa.array((got[1] + shift).astype(np.int32)), pa.array((got[2] + shift).astype(np.int32)), pa.array((got[3] + shift).astype(np.int32)), pa.array(got[4]), pa.array(got[5])], ["doc_id", "rid", "lo", "hi", "at", "h", "c"])
+                    yield pa.RecordBatch.from_arrays([batch.column("tid").take(row), batch.column("copies").take(row), pa.array((got[1] + shift).astype(np.int32)), pa.array((got[2] + shift).astype(np.int32)), pa.array((got[3] + shift).astype(np.int32)), pa.array(got[4]), pa.array(got[5])], ["tid", "copies", "lo", "hi", "at", "h", "c"])
 
 
 def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +105,7 @@ def spread(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def suffix_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, rid, text, runs (lo, hi, at, copies) -> doc_id, rid, lo, hi, core, c, copies of blocks of suffixes."""
+    """tid, text, runs (lo, hi, at, copies) -> tid, lo, hi, core, c, copies of blocks of suffixes."""
     for batch in batches:
         lists = batch.column("runs")
         for i, j, data, offs in blocks(batch.column("text")):
@@ -115,13 +120,13 @@ def suffix_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             c = mix(p.of(begin + a, begin + b + LENGTH) + (b - a).astype(U) * U(0x9FB21C651E98DF25) + (core - a).astype(U)).view(np.int64)
             take = pa.array(i + row[own])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("rid").take(take), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(d), pa.array(c), pa.array(copies[own].astype(np.int32))],
-                ["doc_id", "rid", "lo", "hi", "core", "c", "copies"],
+                [batch.column("tid").take(take), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(d), pa.array(c), pa.array(copies[own].astype(np.int32))],
+                ["tid", "lo", "hi", "core", "c", "copies"],
             )
 
 
 def suffix_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, rid, text, runs (lo, hi, copies) -> doc_id, rid, s, x, y, copies of each suffix."""
+    """tid, text, runs (lo, hi, copies) -> tid, s, x, y, copies of each suffix."""
     for batch in batches:
         spans = batch.column("runs")
         for i, j, data, offs in blocks(batch.column("text")):
@@ -139,87 +144,87 @@ def suffix_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = offs[own] + s
                 take = pa.array(i + own)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("rid").take(take), pa.array(s.astype(np.int32)), pa.array(p.of(at, at + LENGTH).view(np.int64)), pa.array(q.of(at, at + LENGTH).view(np.int64)), pa.array(copies[z][of].astype(np.int32))],
-                    ["doc_id", "rid", "s", "x", "y", "copies"],
+                    [batch.column("tid").take(take), pa.array(s.astype(np.int32)), pa.array(p.of(at, at + LENGTH).view(np.int64)), pa.array(q.of(at, at + LENGTH).view(np.int64)), pa.array(copies[z][of].astype(np.int32))],
+                    ["tid", "s", "x", "y", "copies"],
                 )
 
 
 def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text, gone (lo, hi) -> the counts, the hash and the bytes kept."""
+    """rid, rid2, copies, text, gone (lo, hi) -> the counts and the hash of the bytes kept."""
     for batch in batches:
         out: list[tuple[int, int, int, str]] = []
-        for text, gone in zip(batch.column("text"), batch.column("gone"), strict=True):
+        for text, gone, copies in zip(batch.column("text"), batch.column("gone"), batch.column("copies").to_pylist(), strict=True):
             raw = np.frombuffer(text.as_buffer(), np.uint8)
             mark = np.zeros(len(raw) + 1, np.int32)
-            if gone.is_valid and len(gone.values):
+            if copies > 1 and len(raw) >= LENGTH:
+                mark[0] = 1
+            elif gone.is_valid and len(gone.values):
                 np.add.at(mark, gone.values.field("lo").to_numpy(), 1)
                 np.add.at(mark, gone.values.field("hi").to_numpy() + LENGTH, -1)
             cover = np.cumsum(mark[:-1]) > 0
             starts = int(cover[:1].sum()) + int(np.count_nonzero(cover[1:] & ~cover[:-1]))
             out.append((len(raw), int(cover.sum()), starts, hashlib.sha256(raw[~cover].tobytes()).hexdigest()))
         cols = [pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)] if out else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.string())]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("rid2"), *cols], ["rid", "rid2", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 class RepeatedStrings:
-    """``gone``: for each text (doc_id, rid) the runs (lo, hi) of its suffixes whose 200 bytes stand elsewhere too."""
+    """``texts``: distinct texts (rid, rid2, text, copies, tid). ``gone``: for each text that stands once (tid) the runs (lo, hi)
+    of its suffixes whose 200 bytes stand elsewhere too."""
 
     def __init__(self, docs: DataFrame) -> None:
         ship(docs.sparkSession)
         self.scratch = s = Scratch(docs.sparkSession)
-        # The text's own hash beside the id, as ids may repeat.
-        self.texts = docs.select("doc_id", text_of(docs).alias("text")).withColumn("rid", F.xxhash64("text"))
-        self.id_type = dict(self.texts.dtypes)["doc_id"]
-        ids = f"doc_id {self.id_type}, rid long"
-        samples = s.keep(self.texts.mapInArrow(sampled, f"{ids}, lo int, hi int, at int, h long, c long"))
-        twice = s.keep(samples.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("h"))
-        met = s.keep(samples.join(twice, "h").withColumn("copies", F.lit(1)))
+        self.rows = docs.select("doc_id", text_of(docs).alias("text")).withColumn("rid", F.xxhash64("text")).withColumn("rid2", F.xxhash64(F.lit(1), "text"))
+        # The texts of the rows of one text are combined before the shuffle.
+        each = self.rows.groupBy("rid", "rid2").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n"))
+        self.texts = s.keep(each.select("rid", "rid2", "text", F.least("n", F.lit(2)).cast("int").alias("copies"), F.monotonically_increasing_id().alias("tid")))
+        samples = s.keep(self.texts.select("tid", "copies", "text").mapInArrow(sampled, "tid long, copies int, lo int, hi int, at int, h long, c long"))
+        twice = s.keep(samples.groupBy("h").agg(F.sum("copies").alias("m")).where("m > 1").select("h"))
+        met = s.keep(samples.join(twice, "h"))
         s.drop(samples, twice)
         runs, whole = self.settled(met, "h", "at")
-        lists = s.keep(runs.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("lo", "hi", "at", "copies")).alias("runs")))
+        lists = s.keep(runs.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi", "at", "copies")).alias("runs")))
         s.drop(met, runs)
-        parts = s.keep(self.joined(lists).mapInArrow(suffix_blocks, f"{ids}, lo int, hi int, core long, c long, copies int"))
+        parts = s.keep(self.texts.select("tid", "text").join(lists, "tid").mapInArrow(suffix_blocks, "tid long, lo int, hi int, core long, c long, copies int"))
         twice = s.keep(parts.groupBy("core").agg(F.sum("copies").alias("m")).where("m > 1").select("core"))
         s.drop(lists)
         met = s.keep(parts.join(twice, "core"))
         s.drop(parts, twice)
         parts, some = self.settled(met, "core")
-        lists = s.keep(parts.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("lo", "hi", "copies")).alias("runs")))
+        lists = s.keep(parts.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi", "copies")).alias("runs")))
         s.drop(met, parts)
-        named = s.keep(self.joined(lists).mapInArrow(suffix_names, f"{ids}, s int, x long, y long, copies int"))
+        named = s.keep(self.texts.select("tid", "text").join(lists, "tid").mapInArrow(suffix_names, "tid long, s int, x long, y long, copies int"))
         s.drop(lists)
         again = s.keep(named.groupBy("x", "y").agg(F.sum("copies").alias("m")).where("m > 1").select("x", "y"))
-        single = named.where("copies = 1").join(again, ["x", "y"]).select("doc_id", "rid", F.col("s").alias("lo"), F.col("s").alias("hi"))
+        single = named.where("copies = 1").join(again, ["x", "y"]).select("tid", F.col("s").alias("lo"), F.col("s").alias("hi"))
         found = whole.union(some).union(single)
-        self.gone = s.keep(found.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")))
+        self.gone = s.keep(found.groupBy("tid").agg(F.collect_list(F.struct("lo", "hi")).alias("gone")))
         s.drop(whole, some, named, again)
 
     def settled(self, met: DataFrame, bucket: str, *more: str) -> tuple[DataFrame, DataFrame]:
-        """Of rows (doc_id, rid, lo, hi, bucket, c, copies): those still open, and the spans of rows with an equal context.
+        """Of rows (tid, lo, hi, bucket, c, copies): those still open, and the spans of rows with an equal context.
 
         To the open rows belong, of each equal context in the bucket of an open row, the rows of one text, for two copies
         each: the others could equal them in part.
         """
-        s, columns = self.scratch, ("doc_id", "rid", "lo", "hi", *more, "copies")
-        equal = s.keep(met.groupBy(bucket, "c").agg(F.sum("copies").alias("m"), F.min("rid").alias("r")).where("m > 1").select(bucket, "c", "r"))
+        s, columns = self.scratch, ("tid", "lo", "hi", *more, "copies")
+        equal = s.keep(met.groupBy(bucket, "c").agg(F.sum("copies").alias("m"), F.min("tid").alias("r")).where("m > 1").select(bucket, "c", "r"))
         judged = s.keep(met.join(equal, [bucket, "c"], "left"))
         ends = s.keep(judged.where("r is null").select(bucket).distinct())
-        one = judged.where("rid = r").join(ends, bucket).withColumn("copies", F.lit(2))
+        one = judged.where("tid = r").join(ends, bucket).withColumn("copies", F.lit(2))
         rows = s.keep(judged.where("r is null").select(*columns).union(one.select(*columns)))
-        spans = s.keep(judged.where("r is not null and copies = 1").select("doc_id", "rid", "lo", "hi"))
+        spans = s.keep(judged.where("r is not null and copies = 1").select("tid", "lo", "hi"))
         s.drop(equal, judged, ends)
         return rows, spans
 
-    def joined(self, lists: DataFrame, how: str = "inner") -> DataFrame:
-        right = lists.withColumnsRenamed({"doc_id": "_id", "rid": "_rid"})
-        t = self.texts.join(right, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("rid") == F.col("_rid")), how)
-        return t.drop("_id", "_rid")
-
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
     r = RepeatedStrings(docs)
-    rows = r.joined(r.gone, "left").select("doc_id", "text", "gone")
-    return rows.mapInArrow(cut_out, f"doc_id {r.id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    cut = r.texts.join(r.gone, "tid", "left").select("rid", "rid2", "copies", "text", "gone")
+    answer = r.scratch.keep(cut.mapInArrow(cut_out, "rid long, rid2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    r.scratch.drop(r.texts, r.gone)
+    return r.rows.select("doc_id", "rid", "rid2").join(answer, ["rid", "rid2"]).drop("rid", "rid2")
 
 
 def op8_suffix_dedup(spark, sf_dir):
