@@ -14,10 +14,15 @@ Patterns of votes number at most kinds x 3^5, whatever the size of the corpus; t
 comes to the driver. The texts are scanned by built-in functions only. A span's place comes from
 pairing the matches with what lies between them (regexp_extract_all and split over one pattern).
 
-Defined cases: a null text is empty; repeated rows are judged alike; an empty table gives an empty
-result and the classifier then rests on its priors. Where an added span would overlap a base span or
-an earlier added one, it is not added. Columns other than doc_id and text are not read by ``pii_spans``;
-``redact`` returns all columns.
+Work grows with a text's length and the number of its matches (times the logarithm of that number): places are prefix
+sums by doubling steps, and overlaps are found by bisection.
+
+Defined cases: a null text is empty; a long text is scanned whole; repeated rows are judged alike; spans that tie in
+their start stand in the order of kinds; an empty table gives an empty result and the classifier then rests on its
+priors. Where an added span would overlap a base span or an earlier candidate of the classifier's, it is not added. Cue
+words are sought in the 32 characters before a span, back to the match before it. Loose addresses have at most 64 characters
+before the sign, and parts of at most 63. Columns other than doc_id and text are not read by ``pii_spans``; ``redact``
+returns all columns.
 """
 
 from __future__ import annotations
@@ -70,18 +75,30 @@ TLDS = ("com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "de", "fr"
 LABELERS = ("strict", "parts", "cue", "other", "alone")
 
 
+def bound(value: str, name: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def running(array: str, join: str = "v + w") -> str:
+    """SQL of the running sums (or what ``join`` makes of an element ``v`` and an earlier one ``w``) of an array, by doubling steps."""
+    step = f"transform(z, (v, i) -> case when i < shiftleft(1, k) then v else {join.replace('w', 'z[i - shiftleft(1, k)]')} end)"
+    return bound(array, "a", f"case when size(a) < 2 then a else aggregate(sequence(0, cast(floor(log2(size(a) - 1)) as int)), a, (z, k) -> {step}) end")
+
+
+def number_below(array: str, value: str) -> str:
+    """SQL of how many numbers of a sorted array are below ``value``, by bisection."""
+    step = f"case when coalesce(get({array}, lo + shiftleft(1, d) - 1) < {value}, false) then lo + shiftleft(1, d) else lo end"
+    return f"aggregate(sequence(cast(floor(log2(size({array}) + 1)) as int), 0), 0, (lo, d) -> {step})"
+
+
 def matches(pattern: str, hint: str) -> str:
     """SQL for the matches in ``_t``: array of (s, e, x, b, a): start, end (code points), string, 32 characters before, 8 after."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
-    kind = "array<struct<s:int,e:int,x:string,b:string,a:string>>"
-    step = (
-        "named_struct('pos', z.pos + length(get(p, i)) + length(get(m, i)), 'out', concat(z.out, array(named_struct("
-        "'s', z.pos + length(get(p, i)), 'e', z.pos + length(get(p, i)) + length(get(m, i)), 'x', get(m, i), 'b', right(get(p, i), 32), 'a', left(get(p, i + 1), 8)))))"
-    )
-    # One-element arrays bind m and p, so that each is computed once.
-    inner = f"aggregate(sequence(0, size(m) - 1), named_struct('pos', 0, 'out', cast(array() as {kind})), (z, i) -> {step}, z -> z.out)"
-    bound = f"transform(array(named_struct('m', regexp_extract_all(_t, '{p}', 0), 'p', split(_t, '{p}'))), q -> case when size(q.m) = 0 then cast(array() as {kind}) else {inner.replace('size(m)', 'size(q.m)').replace('get(m,', 'get(q.m,').replace('get(p,', 'get(q.p,')} end)"
-    return f"case when {hint} then {bound}[0] else cast(array() as {kind}) end"
+    ends = running("transform(q.m, (x, i) -> length(get(q.p, i)) + length(x))")
+    each = "transform(q.m, (x, i) -> named_struct('s', t[i] - length(x), 'e', t[i], 'x', x, 'b', right(get(q.p, i), 32), 'a', left(get(q.p, i + 1), 8)))"
+    found = bound(f"named_struct('m', regexp_extract_all(_t, '{p}', 0), 'p', split(_t, '{p}'))", "q", bound(ends, "t", each))
+    return f"case when {hint} then {found} else cast(array() as array<struct<s:int,e:int,x:string,b:string,a:string>>) end"
 
 
 DIGITS = "regexp_replace(x.x, '[^0-9]', '')"
@@ -194,11 +211,15 @@ def fit(cands: DataFrame) -> SpanModel:
 def decided(cands: DataFrame, model: SpanModel, least: float = 0.7) -> DataFrame:
     """Adds ``spans``: base spans and accepted candidates as (s, k, e, kind), in order."""
     cut = math.log(least / (1 - least))
-    free = "not exists(base, y -> y.s < x.e and x.s < y.e)"
     fields = "named_struct('s', x.s, 'k', x.k, 'e', x.e, 'kind', x.kind)"
-    added = f"sort_array(transform(filter(more, x -> {free} and {model.score()} >= {cut!r}d), x -> {fields}))"
     kind = "array<struct<s:int,k:int,e:int,kind:string>>"
-    apart = f"aggregate({added}, cast(array() as {kind}), (z, x) -> case when size(z) = 0 or element_at(z, -1).e <= x.s then concat(z, array(x)) else z end)"
+    # A candidate meets a base span if, of those that start before its end, one ends after its start.
+    before = number_below("t.s", "x.e")
+    free = f"transform(array({before}), n -> n = 0 or t.e[n - 1] <= x.s)[0]"
+    good = f"sort_array(transform(filter(more, x -> {free} and {model.score()} >= {cut!r}d), x -> {fields}))"
+    ends = running("transform(_base, x -> x.e)", "greatest(v, w)")
+    chosen = bound(f"named_struct('s', transform(_base, x -> x.s), 'e', {ends})", "t", good)
+    apart = bound(chosen, "c", bound(running("transform(c, x -> x.e)", "greatest(v, w)"), "m", "filter(c, (x, i) -> i = 0 or m[i - 1] <= x.s)"))
     d = cands.withColumn("_base", F.expr(f"sort_array(transform(base, x -> {fields}))"))
     d = d.withColumn("_added", F.expr(f"case when size(more) = 0 then cast(array() as {kind}) else {apart} end"))
     return d.withColumn("spans", F.expr("sort_array(concat(_base, _added))")).drop("_added")
@@ -231,16 +252,19 @@ def redact(docs: DataFrame, least: float = 0.7) -> DataFrame:
     scratch.drop(found)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), "text")
     d = decided(candidates(row, ["_row"]), model, least)
-    kind = "array<struct<s:int,e:int,kind:string>>"
-    merged = (
-        f"aggregate(spans, cast(array() as {kind}), (z, x) -> case when size(z) = 0 or element_at(z, -1).e <= x.s then concat(z, array(named_struct('s', x.s, 'e', x.e, 'kind', x.kind)))"
-        " else concat(slice(z, 1, size(z) - 1), array(named_struct('s', element_at(z, -1).s, 'e', greatest(element_at(z, -1).e, x.e), 'kind', element_at(z, -1).kind))) end)"
-    )
+    # Spans that overlap are one; each starts where no earlier span reaches, and ends where the spans before the next one do.
+    ends = running("transform(spans, x -> x.e)", "greatest(v, w)")
+    each = "transform(f, (n, j) -> named_struct('s', spans[n].s, 'e', m[coalesce(get(f, j + 1), size(spans)) - 1], 'kind', spans[n].kind))"
+    merged = bound(ends, "m", bound("filter(sequence(0, size(spans) - 1), n -> n = 0 or m[greatest(n, 1) - 1] <= spans[n].s)", "f", each))
     d = d.withColumn("_m", F.expr(f"case when size(spans) > 0 then {merged} end"))
-    clean = (
-        "concat(array_join(transform(_m, (x, i) -> concat(substring(_t, coalesce(get(_m, i - 1).e, 0) + 1, x.s - coalesce(get(_m, i - 1).e, 0)), '<', upper(x.kind), '>')), ''),"
-        " substring(_t, element_at(_m, -1).e + 1))"
+    # What is between spans is cut from chunks of 1,024 characters, as a place in a long text takes long to find.
+    part = (
+        "case when a div 1024 = b div 1024 then substring(get(c, cast(a div 1024 as int)), a % 1024 + 1, b - a) else concat(substring(c[cast(a div 1024 as int)], a % 1024 + 1), "
+        "array_join(slice(c, cast(a div 1024 as int) + 2, cast(b div 1024 - a div 1024 as int) - 1), ''), coalesce(substring(get(c, cast(b div 1024 as int)), 1, b % 1024), '')) end"
     )
+    between = bound("coalesce(get(_m, i - 1).e, 0)", "a", bound("x.s", "b", f"coalesce({part}, '')"))
+    rest = bound("element_at(_m, -1).e", "a", bound("char_length(_t)", "b", f"coalesce({part}, '')"))
+    clean = bound("regexp_extract_all(_t, '(?s).{1,1024}', 0)", "c", f"concat(array_join(transform(_m, (x, i) -> concat({between}, '<', upper(x.kind), '>')), ''), {rest})")
     d = d.withColumn("_text", F.expr(f"case when _m is null then _row.text else {clean} end"))
     types = dict(docs.dtypes)
     new = {"text": F.col("_text"), "n_chars": F.when(F.col("_m").isNull(), F.col("_row.n_chars")).otherwise(F.char_length("_text").cast(types["n_chars"])) if "n_chars" in types else None}
