@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keytide.llm import embeddings, licenses, minhash, mixing, packing, pii, quality, sharding, substrings, tokens
+from keytide.llm.common import Scratch
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n int, h string, bin string, label string, size string"
@@ -26,11 +27,6 @@ def docs(spark):
     return frame(spark, DOCS).repartition(3).cache()
 
 
-@pytest.fixture(scope="module")
-def none(spark):
-    return frame(spark, [])
-
-
 def test_near_duplicates(docs):
     found = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
     assert found == brute.near(DOCS)
@@ -76,8 +72,6 @@ def test_null_ids(spark):
     rows = frame(spark, [(5, "a b c d e f g")], [(None, "a b c d e f g"), (None, "only a null id here")])
     assert Counter((r.doc_id, r.class_id) for r in minhash.near_duplicates(rows).collect()) == {(5, 5): 1, (None, 5): 1, (None, None): 1}
     assert minhash.near_dedup(rows).count() == 2
-    assert substrings.repeated_strings(rows).count() == 3
-    assert sharding.shard(rows).count() == mixing.mix(rows).count() == pii.pii_spans(rows).count() == 3
 
 
 def test_repeated_strings(docs):
@@ -86,6 +80,19 @@ def test_repeated_strings(docs):
     assert any(0 < f[1] < f[0] for f in found.values())
 
 
+def test_repeated_rows_cost_no_more(spark):
+    """Rows of one text with one id, or none: results of brute force, and lists that don't grow with the repeats."""
+    words = " ".join(f"w{i}" for i in range(300))
+    docs = [(i, words[i * 7 :] if i % 3 else f"own {i} text " * 5) for i in range(9)]
+    rows = frame(spark, docs).select("doc_id", "text")
+    many = rows.crossJoin(spark.range(300)).select(F.when(F.col("doc_id") < 6, F.lit(None)).otherwise(5).cast("long").alias("doc_id"), "text")
+    want = Counter(brute.repeats([(k, t) for k, (_, t) in enumerate(docs * 2)])[k] for k in range(9))
+    assert Counter(tuple(r)[1:] for r in substrings.repeated_strings(many).collect()) == Counter({k: 300 * n for k, n in want.items()})
+    assert sum(substrings.RepeatedStrings(many).texts.select("copies").toPandas()["copies"]) == 18
+    got = minhash.near_duplicates(many)
+    assert got.count() == 2700 and got.select("class_id").distinct().count() == 2
+
+
 def test_repeated_strings_in_pieces(spark, monkeypatch):
     parts = list(substrings.pieces(np.array([0, 10, 5000, 5100])))
     assert len(parts) == 1
@@ -120,9 +127,13 @@ def test_quality_thresholds(spark):
         labels.append((i, 0 if bad else 1))
     docs, labs = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int")
     rules = quality.QualityRules()
-    feats = quality.features(docs.select("doc_id", "text", quality.stratum().alias("stratum")), ["doc_id", "stratum"])
-    p = rules.alpha / len(quality.RULES)
-    for r in rules.candidates(feats, labs).collect():
+    feats = Scratch(spark).keep(quality.features(docs.select("doc_id", "text", quality.stratum().alias("stratum")), ["doc_id", "stratum"]))
+    p, judged = rules.alpha, rules.judged(feats, labs)
+    units = rules.units(judged)
+    assert set(units) == {"symbols"}
+    table = rules.candidates(judged, units).collect()
+    assert {r.stratum for r in table} == {"en"} and any(r.proven for r in table)
+    for r in table:
         want = 1.0 if r.k > p * r.n else sum(math.comb(r.n, i) * p**i * (1 - p) ** (r.n - i) for i in range(r.k + 1))
         assert r.p_value == pytest.approx(want, rel=1e-6)
     verdicts = {r.doc_id: r.kept for r in quality.quality_verdicts(docs, labs).collect()}
@@ -138,6 +149,41 @@ ODD = [
 ]
 
 
+def test_quality_counts_copies_of_labelled_rows_once(spark):
+    """Eighty good documents prove nothing, however often they are repeated; other labels of a copy make all of them bad."""
+    text = lambda i, sign: " ".join(f"d{i}w{k}" + (sign if k < 30 else "") for k in range(60))
+    rows = [(i, text(i, "###" if i % 2 else ""), "en", "s", 0, *EXTRA) for i in range(160)]
+    many = rows + [(1000 + 160 * n + i, t, *rest) for n in range(4) for i, t, *rest in rows]
+    labels = [(r[0], 1 - r[0] % 2) for r in many]
+    docs, labs = spark.createDataFrame(many + rows, SCHEMA), spark.createDataFrame(labels + labels, "doc_id long, quality int")
+    rules = quality.QualityRules()
+    feats = Scratch(spark).keep(quality.features(docs.select("doc_id", "text", quality.stratum().alias("stratum")), ["doc_id", "stratum"]))
+    assert rules.judged(feats, labs).count() == 160
+    units, cutoffs = rules.fit(feats, labs)
+    assert set(units) == {"symbols"} and not cutoffs
+    odd = rules.judged(feats, labs.union(spark.createDataFrame([(1160, 0)], "doc_id long, quality int")))
+    assert odd.where("good > 0").count() == 79
+
+
+def test_quality_holdout_stays_below_alpha(spark, sf):
+    """On test tables with labels enough: cutoffs in three strata at least, and false rejections in held-out splits below alpha."""
+    from pathlib import Path
+
+    big = Path("/root/testdata/sf0.1")
+    if not big.exists():
+        pytest.skip("no large test tables here")
+    docs, labs = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    labelled = docs.join(labs.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", quality.stratum().alias("stratum"))
+    feats = Scratch(spark).keep(quality.features(labelled, ["doc_id", "stratum"]))
+    rules = quality.QualityRules()
+    assert len(rules.fit(feats, labs)[1]) >= 3
+    for split in range(2):
+        held = F.pmod(F.xxhash64("doc_id", F.lit(90 + split)), F.lit(3)) == 0
+        model = rules.fit(feats, labs.where(~held))
+        for r in feats.where(~quality.base_failed()).join(labs.where(held & (F.col("quality") == 1)), "doc_id").groupBy("stratum").agg(F.avg(rules.passes(*model).cast("int")).alias("kept")).collect():
+            assert r.kept >= 1 - rules.alpha
+
+
 def test_pii_base_spans(spark):
     rows = list(enumerate(ODD)) + [(100 + i, t) for i, t in DOCS[:20]]
     for r in pii.pii_spans(frame(spark, rows)).collect():
@@ -158,6 +204,17 @@ def test_pii_added_spans_and_redaction(spark):
     assert clean[5].text is None and clean[4].text == "plain" and pii.redact(docs).columns == docs.columns
 
 
+def test_pii_work_grows_with_matches(spark):
+    """Thousands of spans in one text: places and redaction stay right."""
+    n = 3000
+    text = " ".join(f"mail jo{i} [at] mail [dot] com or x{i}@y.org é 𝒳 10.0.0.{i % 200}" for i in range(n))
+    docs = frame(spark, [(1, text)])
+    spans = [x.split(":") for x in pii.pii_spans(docs).first().spans.split(",")]
+    assert len(spans) == 3 * n and all(text[int(a) : int(b)].startswith({"email": ("jo", "x"), "ip": "10."}[k]) for k, a, b in spans)
+    want = " ".join("mail <EMAIL> or <EMAIL> é 𝒳 <IP>" for _ in range(n))
+    assert pii.redact(docs).first().text == want
+
+
 def test_pii_em_tells_reliable_labelers():
     """On votes drawn from known reliabilities EM ranks the labelers right and its classifier agrees with the truth."""
     rng = np.random.default_rng(1)
@@ -197,6 +254,23 @@ def test_mixing(docs):
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({r.doc_id: r.copies for r in rows})
 
 
+def test_mixed_documents_with_repeated_ids(spark, docs):
+    """Rows that share an id, or have none, are taken as often as the mix says of each; rows and words add up."""
+    rows = docs.withColumn("doc_id", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.col("doc_id") % 20)).unionByName(docs.where("doc_id < 5"))
+    want = Counter((r.doc_id, r.source_size, r["size"]) for r in mixing.mix(rows).collect() for _ in range(r.copies))
+    sizes = {r.source: r.n for r in mixing.sized(rows, "source").groupBy("source").agg(F.sum("size").alias("n")).collect()}
+    assert Counter((r.doc_id, sizes[r.source], len(brute.WORD.findall(r.text or ""))) for r in mixing.mixed_documents(rows).collect()) == want
+
+
+def test_targets_of_many_sources(spark):
+    rng = np.random.default_rng(3)
+    sizes = {f"s{i:03d}": int(rng.integers(0, 2000)) for i in range(300)} | {None: 77}
+    table = spark.createDataFrame([(k is None, k or "", n) for k, n in sizes.items()], "no_source boolean, source_key string, source_size long")
+    goal = brute.targets(sizes)
+    for r in mixing.targets(Scratch(spark), table).collect():
+        assert r.target == pytest.approx(goal[None if r.no_source else r.source_key])
+
+
 def test_sharding(docs):
     rows = sharding.shard(docs).collect()
     text = dict(DOCS)
@@ -210,12 +284,34 @@ def test_sharding(docs):
         slots[r.shard].append(r.slot)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     many = docs.where("length(text) < 2000").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(40)))).withColumn("text", F.concat("text", "k")).withColumn("doc_id", F.col("doc_id") * 100 + F.col("k"))
-    hot = many.union(many.withColumn("text", F.lit("all the same " * 30)).withColumn("doc_id", -F.col("doc_id")))
-    load = Counter()
-    for r in sharding.shard(hot).collect():
-        load[r.shard] += r["size"]
-    mean = sum(load.values()) / 8
-    assert len(load) == 8 and all(abs(v - mean) < 0.05 * mean for v in load.values())
+    hot = many.union(many.withColumn("text", F.lit("all the same " * 30)).withColumn("doc_id", F.lit(None).cast("long")))
+    warm = hot.union(many.withColumn("text", F.lit("a twentieth " * 12)).where("k < 20"))
+    for part_rows in (1 << 20, 100):
+        load, where, slots = Counter(), defaultdict(set), defaultdict(list)
+        for r in sharding.shard(warm, part_rows=part_rows).collect():
+            load[r.shard] += r["size"]
+            where[r.text_crc32, r["size"]].add(r.shard)
+            slots[r.shard].append(r.slot)
+        mean = sum(load.values()) / 8
+        assert len(load) == 8 and all(abs(v - mean) < 0.02 * mean for v in load.values())
+        # Only the text that no shard can hold is in several.
+        assert {k: len(v) > 1 for k, v in where.items() if len(v) > 1} == {(zlib.crc32(("all the same " * 30).encode()), 391): True}
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_splitters_decide_the_shards(spark, docs, monkeypatch):
+    """Other draws move rows, and every shard of the ranges that aren't hot is an interval of keys between splitters."""
+    many = docs.where("length(text) between 20 and 2000").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(60)))).withColumn("text", F.concat("text", "k")).withColumn("doc_id", F.col("doc_id") * 100 + F.col("k"))
+    how = {"fine": 8, "per_range": 4, "tolerance": 0.3}
+    shards = lambda **k: {r.doc_id: r.shard for r in sharding.shard(many, **how, **k).collect()}
+    first = shards()
+    assert first == shards() and any(first[i] != s for i, s in shards(seed=99).items())
+    keys = {r.doc_id: r.h for r in many.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    inside = sorted((keys[i], s) for i, s in first.items())
+    assert [s for _, s in inside] == sorted(s for _, s in inside)
+    real = sharding.quantiles
+    monkeypatch.setattr(sharding, "quantiles", lambda k, n: real(k, n)[::7])
+    assert any(first[i] != s for i, s in shards().items())
 
 
 def test_packing(docs):
@@ -235,6 +331,21 @@ def test_packing(docs):
             assert max(Counter(dict(DOCS)[r.doc_id] for r in b).values()) == 1
 
 
+def test_packing_groups_do_not_depend_on_files(spark, docs):
+    """Bins are the same however the table is dealt, with string ids, null ids and repeated rows; clusters may be given."""
+    odd = docs.select(F.when(F.col("doc_id") % 5 > 0, F.col("doc_id").cast("string")).alias("doc_id"), "text", "source").union(docs.where("doc_id < 20").select(F.lit(""), "text", "source"))
+    pieces = lambda df, **k: sorted(map(str, packing.pack(df, capacity=300, group_rows=50, **k).collect()))
+    assert pieces(odd) == pieces(odd.repartition(5))
+    # One group costs no more than a few bins.
+    one, many = (packing.fill(packing.pack(docs, capacity=300, group_rows=n), 300).first() for n in (10**6, 50))
+    assert one.words == many.words and one.bins <= many.bins < 1.1 * one.bins and 0 < many.fill <= 1
+    given = docs.where("doc_id < 12").withColumn("class", F.when(F.col("doc_id") < 8, F.lit("one")))
+    bins = defaultdict(list)
+    for r in packing.pack(given, capacity=4096, cluster="class").collect():
+        bins[r.bin].append(r.doc_id)
+    assert all(sum(i < 8 for i in b) <= 1 for b in bins.values()) and any(sum(i >= 8 for i in b) > 1 for b in bins.values())
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     rng = np.random.default_rng(2)
     items = [(int(rng.integers(1, 60)), int(rng.integers(0, 3)), int(rng.integers(0, 40))) for _ in range(400)]
@@ -280,16 +391,55 @@ def test_token_counts(spark):
             got, ids = sorted(rows[i], key=lambda r: r.section), coder.encode_ordinary(t or "")
             parts = (t or "").splitlines(keepends=True) or [""]
             assert [(t or "")[r.start : r.end] for r in got] == parts and sum(r.n_tokens for r in got) == len(ids)
-            if t and t.isascii():
+            if t:
                 begin, want, at = [r.start for r in got], Counter(), 0
+                # The character of each byte: a token may begin or end inside one.
+                char = [c for c, x in enumerate(t) for _ in x.encode()]
                 for token in ids:
-                    span = range(at, at := at + len(coder.decode([token])))
+                    n = len(coder.decode_single_token_bytes(token))
+                    span = range(char[at], char[at + n - 1] + 1)
+                    at += n
                     where = [max(k for k, s in enumerate(begin) if s <= c) for c in span]
                     want[{"first": where[0], "last": where[-1], "most": Counter(where).most_common(1)[0][0]}[rule]] += 1
                 assert [r.n_tokens for r in got] == [want[k] for k in range(len(got))]
         assert rows[0][0].n_crossing + sum(r.n_crossing for r in rows[4]) > 0
 
 
+def test_token_counts_of_given_sections(spark):
+    coder, _ = tokens.encoding(f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+    text = "title one\nand a body 日本語 that goes on"
+    rows = [(1, text, [(10, 18), (0, 5), (4, 9)]), (2, None, [(0, 3)]), (3, "plain", None), (4, "abc def", [(0, 7)]), (5, "abc", [None, (0, None), (2, 90)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, s array<struct<start:int,end:int>>")
+    found = defaultdict(dict)
+    for r in tokens.section_tokens(docs, sections="s").collect():
+        found[r.doc_id][r.section] = (r.start, r.end, r.n_tokens)
+    assert {k: v[:2] for k, v in found[1].items()} == {0: (0, 5), 1: (5, 9), 2: (10, 18), None: (0, len(text))}
+    assert sum(v[2] for v in found[1].values()) == len(coder.encode_ordinary(text))
+    assert found[2] == {0: (0, 0, 0)} and found[3] == {None: (0, 5, 1)} and found[4] == {0: (0, 7, 2)} and found[5] == {0: (2, 3, 0), None: (0, 3, 1)}
+    fields = tokens.with_fields(spark.createDataFrame([(1, "über", None, "x y")], "doc_id long, a string, b string, c string"), ["a", "b", "c"])
+    assert fields.first().text == "über\n\nx y" and [tuple(x) for x in fields.first().sections] == [(0, 4), (5, 5), (6, 9)]
+
+
+def test_token_counts_of_long_white_space():
+    """Runs that the encoder can't take are encoded as whole-document encoding has them, which short ones show."""
+    import random
+    import re
+
+    coder, sizes = tokens.encoding(path := f"{tokens.TOKENIZERS}/{tokens.VOCABULARY}")
+    for t in (" " * 10**6, "\n" * 10**6, "x" + "\t \u3000" * 400_000 + "y", "a" * 10**6, "日" * 10**6, "#" * 10**6):
+        ids = tokens.encode(coder, t)
+        assert b"".join(coder.decode_single_token_bytes(x) for x in ids) == t.encode()
+        assert tokens.attribute(t, path)["n_tokens"].sum() == len(ids)
+    r, gap = random.Random(4), tokens.GAP
+    try:
+        tokens.GAP = re.compile(f"[{tokens.BLANK}]{{3,}}")
+        for _ in range(2000):
+            t = "".join(r.choice(["a", "b1", " ", "  ", "\n", "\t", "\x85", "\x1c", "'s", "é", "日", "!", "\r\n"]) for _ in range(r.randrange(40)))
+            assert tokens.encode(coder, t) == coder.encode_ordinary(t)
+    finally:
+        tokens.GAP = gap
+
+
 def test_license_scan(spark):
     t = licenses.TEMPLATES
     cut = t["MIT"].replace("free of charge, ", "").replace("merge, ", "fuse, ")
@@ -331,17 +481,6 @@ def test_license_bodies_and_parts(spark):
         assert low <= found[i][0].coverage <= high and found[i][0].end - found[i][0].start >= 0.9 * len(x.rstrip(" the")) - 20
 
 
-def test_empty_tables(none, spark):
-    labels = spark.createDataFrame([], "doc_id long, quality int")
-    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    for out in (
-        minhash.near_duplicates(none), minhash.near_dedup(none), substrings.repeated_strings(none), quality.quality_verdicts(none, labels), quality.quality_filter(none, labels),
-        pii.pii_spans(none), pii.redact(none), mixing.mix(none), mixing.mixed_documents(none), sharding.shard(none), packing.pack(none), embeddings.vector_links(vectors),
-        tokens.section_tokens(none), licenses.license_matches(none),
-    ):
-        assert out.count() == 0
-
-
 def test_pipeline(spark, sf):
     import corpus_pipeline as p
 
@@ -355,7 +494,6 @@ def test_pipeline(spark, sf):
         n.append(len(rows))
         docs = spark.createDataFrame(rows, out.schema)
     assert n[1] < n[0] and n[2] < n[1] and n[3] == n[2]
-    assert p.run(spark, sf).count() == n[-1]
 
 
 def test_common_counts_and_blocks():
