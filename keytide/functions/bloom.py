@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keytide.functions.codec import bloom_bits, bloom_positions
+from keytide.functions.codec import big_endian, bloom_bits, bloom_positions, frame, frame_ok
 
 
 def build(keys: DataFrame, count: int, error: float = 0.01) -> DataFrame:
@@ -21,3 +25,62 @@ def contains(keys: DataFrame, bloom: DataFrame, count: int, error: float = 0.01)
     bit = F.bitmap_bit_position("at")
     byte = F.conv(F.hex(F.substring("bitmap", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     return at.join(bloom, "bucket", "left").groupBy("key").agg(F.bool_and(F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).alias("maybe"))
+
+
+def size(bloom: DataFrame, count: int, error: float = 0.01) -> DataFrame:
+    """One row: bits of the filter, how many are set, and the number of keys that this speaks for."""
+    bits, hashes = bloom_bits(count, error)
+    row = bloom.agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("set"))
+    free = 1 - F.least(F.col("set"), F.lit(bits - 1)) / float(bits)
+    return row.select(F.lit(bits).cast("long").alias("bits"), "set", F.round(-F.log(free) * float(bits) / hashes).cast("long").alias("keys"))
+
+
+def encode(bloom: DataFrame, count: int, error: float = 0.01) -> DataFrame:
+    """The filter's rows as checksummed binaries, each with the filter's bits and hashes."""
+    bits, hashes = bloom_bits(count, error)
+    number = lambda c, n: big_endian(c if isinstance(c, Column) else F.lit(c), n)
+    return bloom.select(frame(F.concat(number(bits, 8), number(hashes, 4), number(F.col("bucket"), 8), F.col("bitmap"))).alias("encoded"))
+
+
+def decode(encoded: DataFrame, count: int, error: float = 0.01) -> DataFrame:
+    """The filter of :func:`encode`; fails on a broken binary and on one of a filter of other size."""
+    number = lambda at, n: F.conv(F.hex(F.substring("encoded", at, n)), 16, 10).cast("long")
+    bits, hashes = bloom_bits(count, error)
+    right = frame_ok(F.col("encoded")) & (number(9, 8) == bits) & (number(17, 4) == hashes)
+    checked = encoded.withColumn("encoded", F.when(right, F.col("encoded")).otherwise(F.raise_error(F.lit("a broken filter, or one of another size")).cast("binary")))
+    return checked.select(number(21, 8).alias("bucket"), F.substring("encoded", F.lit(29), F.octet_length("encoded") - 29).alias("bitmap"))
+
+
+@dataclass
+class ScalableBloom:
+    """Filters of growing size: each holds twice as many keys as the one before, with half of its error, so that the
+    errors of all add up to less than ``error`` however many keys come."""
+
+    first: int = 1 << 16
+    error: float = 0.01
+    slices: tuple[tuple[DataFrame, int, float], ...] = ()
+
+    def add(self, keys: DataFrame, count: int) -> ScalableBloom:
+        """With ``count`` more keys, dealt over as many further slices as they need."""
+        sizes, k = [], len(self.slices)
+        while sum(sizes) < max(count, 1):
+            sizes.append(self.first << (k + len(sizes)))
+        total, edge = sum(sizes), 0
+        place, new = F.pmod(F.xxhash64("key", F.lit("slice")), F.lit(total)), []
+        for j, n in enumerate(sizes):
+            rate = self.error / 2 ** (k + j + 1)
+            new.append((build(keys.where((place >= edge) & (place < edge + n)), n, rate), n, rate))
+            edge += n
+        return ScalableBloom(self.first, self.error, (*self.slices, *new))
+
+    def contains(self, keys: DataFrame) -> DataFrame:
+        if not self.slices:
+            return keys.select("key", F.lit(False).alias("maybe"))
+        every = [contains(keys, *s) for s in self.slices]
+        return reduce(DataFrame.unionByName, every).groupBy("key").agg(F.bool_or("maybe").alias("maybe"))
+
+    def capacity(self) -> int:
+        return sum(n for _, n, _ in self.slices)
+
+    def false_positives(self) -> float:
+        return 1 - math.prod(1 - r for _, _, r in self.slices)

@@ -41,13 +41,16 @@ def fold_ordered(state: DataFrame, r: KeyRange, init: Column, step: Callable[[Co
     return (src.groupBy(*by) if by else src).agg(F.aggregate(rows, init, step).alias("acc"))
 
 
-def fold_iter(state: DataFrame, r: KeyRange, fun: Callable[[Any, Any, Any], Any], acc: Any) -> Any:
-    """Fold by any Python function in key order, a partition at a time on the driver; an exception stops it."""
-    if r.limit == 0:
+def fold_iter(state: DataFrame, r: KeyRange, fun: Callable[[Any, Any, Any], Any], acc: Any, until: Callable[[Any], bool] | None = None, reverse: bool = False) -> Any:
+    """Fold by any Python function in key order, a partition at a time on the driver; it stops when ``until`` holds of the
+    result so far, or by an exception. In ``reverse`` the rows of the interval (and limit) come last to first."""
+    if r.limit == 0 or (until and until(acc)):
         return acc
-    rows: Iterator = scan(state, r).orderBy("key").select("key", "value").toLocalIterator()
+    rows: Iterator = scan(state, r).orderBy(F.col("key").desc() if reverse else "key").select("key", "value").toLocalIterator()
     for row in rows:
         acc = fun(row.key, row.value, acc)
+        if until and until(acc):
+            break
     return acc
 
 
@@ -86,6 +89,36 @@ def floor_lookup(table: DataFrame, probes: DataFrame, buckets: list | None = Non
     return out.select(F.col("at").alias("probe"), "_f.key", "_f.value")
 
 
+def edges(keys: DataFrame, parts: int, error: int = 1000) -> list:
+    """At most ``parts - 1`` boundaries that cut numeric keys into about equal parts, from a sketch of quantiles."""
+    at = [i / parts for i in range(1, parts)]
+    found = keys.agg(F.percentile_approx("key", at, error).alias("e")).first()
+    return sorted(set(found.e or []))
+
+
+def dict_build(pairs: DataFrame, by: Column) -> DataFrame:
+    """Pages: for each value of ``by`` one row (page, keys, values), the keys in order; of equal keys one stays. ``by`` has to
+    bound the rows of a page, as the leading part of a key does."""
+    rows = F.sort_array(F.collect_list(F.struct("key", "value")))
+    pages = pairs.groupBy(by.alias("page")).agg(rows.alias("_r"))
+    once = F.filter("_r", lambda x, i: (i == 0) | (F.get(F.col("_r"), i - 1)["key"] != x["key"]))
+    return pages.withColumn("_r", once).select("page", F.col("_r.key").alias("keys"), F.col("_r.value").alias("values"))
+
+
+def dict_entries(pages: DataFrame) -> DataFrame:
+    """The pairs of pages: the inverse of :func:`dict_build`."""
+    return pages.select(F.explode(F.arrays_zip("keys", "values")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.values").alias("value"))
+
+
+def dict_find(pages: DataFrame, probes: DataFrame, by: Column) -> DataFrame:
+    """For each probe (key) its value in its page, found by bisection; null where it isn't. ``by`` is that of the pages, over ``key``."""
+    both = probes.withColumn("page", by).join(pages, "page", "left")
+    steps = F.sequence(F.floor(F.log2(F.size("keys") + 1)).cast("int"), F.lit(0))
+    below = F.aggregate(steps, F.lit(0), lambda lo, d: F.when(F.coalesce(F.get("keys", lo + F.pow(F.lit(2), d).cast("int") - 1) < F.col("key"), F.lit(False)), lo + F.pow(F.lit(2), d).cast("int")).otherwise(lo))
+    at = both.withColumn("_i", F.when(F.col("keys").isNotNull(), below))
+    return at.select("key", F.when(F.get("keys", F.col("_i")) == F.col("key"), F.get("values", F.col("_i"))).alias("value"))
+
+
 def dict_merge(a: DataFrame, b: DataFrame, resolve: Callable[[Column, Column], Column]) -> DataFrame:
     """Union of two key/value tables; where both have a key, ``resolve(value of a, value of b)`` decides."""
     x, y = a.select("key", F.col("value").alias("_x"), F.lit(True).alias("_a")), b.select("key", F.col("value").alias("_y"), F.lit(True).alias("_b"))

@@ -15,7 +15,7 @@ from keytide.functions import bloom as blooms
 from keytide.functions.codec import frame, frame_ok, payload
 from keytide.operators import reads, resolve
 from keytide.plans.keyrange import KeyRange
-from keytide.plans.schema import as_changes, composite_key, padded_key
+from keytide.plans.schema import as_changes, composite_key, entry_size, level_of, padded_key
 from keytide.sources.store import KvStore
 from keytide.streaming import ingest
 
@@ -73,11 +73,17 @@ def latest_state(spark, sf):
 
 @query(f"{LIVE} SELECT key, value, row_number() OVER (ORDER BY key) AS position FROM live")
 def fold_full(spark, sf):
-    """Ordered scan with each row's place, from the counts of key ranges; no task sees all rows."""
+    """Ordered scan with each row's place, from the counts of key ranges: in two steps, so that the one task that sees all
+    ranges sees one row for a million keys."""
     from pyspark.sql import Window
 
-    rows = live(spark, sf).select("key", "value", F.substring("key", 1, 9).alias("_b"))
-    lower = rows.groupBy("_b").count().select("_b", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
+    part = lambda n: F.substring("key", 1, n)
+    rows = live(spark, sf).select("key", "value", part(6).alias("_a"), part(9).alias("_b"))
+    fine = rows.groupBy("_a", "_b").count()
+    coarse = fine.groupBy("_a").agg(F.sum("count").alias("_m"))
+    sums = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    coarse = coarse.select("_a", sums("_m", Window.orderBy("_a")).alias("_x"))
+    lower = fine.join(coarse, "_a").select("_b", (F.col("_x") + sums("count", Window.partitionBy("_a").orderBy("_b"))).alias("_n"))
     return rows.join(lower, "_b").select("key", "value", (F.col("_n") + F.row_number().over(Window.partitionBy("_b").orderBy("key"))).alias("position"))
 
 
@@ -223,12 +229,14 @@ def compact_drop_tombstones(spark, sf):
 def scratch(spark: SparkSession) -> str:
     """A new folder which all executors share: in spark.checkpoint.dir, and only without that a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{(base or tempfile.mkdtemp(prefix='keytide-')).rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def loaded(spark: SparkSession, sf: str, parts: int) -> KvStore:
-    store = KvStore.open(spark, scratch(spark), {"max_runs": 3})
-    log = changes(spark, sf).withColumn("value", F.col("value").cast("string"))
+def loaded(spark: SparkSession, sf: str, parts: int, log: DataFrame | None = None, **options) -> KvStore:
+    store = KvStore.open(spark, scratch(spark), {"max_runs": 3} | options)
+    log = (changes(spark, sf) if log is None else log).withColumn("value", F.col("value").cast("string"))
     edges = log.agg(F.min("seq"), F.max("seq")).first()
     step = max(1, (edges[1] - edges[0]) // parts + 1)
     for lo in range(edges[0], edges[1] + 1, step):
@@ -243,6 +251,24 @@ def flush_equivalence(spark, sf):
     return s.state(AS_OF).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").cast("double").alias("value"))
 
 
+@query(f"WITH {LATEST} SELECT key, value, t + nullif(coalesce(ttl, 0), 0) AS expire_at FROM latest WHERE NOT is_delete AND (ttl IS NULL OR t + ttl >= {AS_OF})")
+def store_ttl(spark, sf):
+    """The state of a store whose changes have lifetimes, 0 among them, which means none."""
+    log = as_changes(table(spark, sf, "events"), key=padded_key(F.col("user_id")), seq=F.col("event_id"), value=F.col("value"), is_delete=F.col("event_type") == "error", now=seconds(), key_ttl=F.coalesce(key_ttl(), F.lit(0)))
+    # Merging drops what has expired by the clock, which is far ahead of these events.
+    s = loaded(spark, sf, 3, log, max_runs=9)
+    return s.state(AS_OF).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").cast("double").alias("value"), "expire_at")
+
+
+@query(f"{LIVE}, n AS (SELECT count(*) AS rows FROM live) SELECT rows, CAST(0 AS BIGINT) AS deletes, CAST(ceil(log2(greatest(rows, 16) / 16.0)) AS INT) AS level, (SELECT min(key) FROM live) AS low, (SELECT max(key) FROM live) AS high FROM n")
+def store_levels(spark, sf):
+    """The one run of a store that is compacted: its rows, and the level which its size gives it (16 rows at level 0, twice as many at each next)."""
+    s = loaded(spark, sf, 5, min_run_rows=16, max_runs=2)
+    s.compact(AS_OF)
+    key = lambda c: F.decode(F.unhex(c), "UTF-8")
+    return s.describe_levels().select("rows", "deletes", "level", key("min_key").alias("low"), key("max_key").alias("high"))
+
+
 @query(f"WITH {CHG} SELECT key, value FROM (SELECT * FROM chg WHERE seq <= (SELECT (min(seq) + max(seq)) // 2 FROM chg) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE NOT is_delete")
 def snapshot_asof(spark, sf):
     log = changes(spark, sf)
@@ -255,7 +281,27 @@ SELECT probe, t.key, t.value FROM probes ASOF LEFT JOIN t ON probe >= t.key""")
 def floor_lookup(spark, sf):
     probes = table(spark, sf, "lineitem").select(F.floor("l_extendedprice").alias("key")).distinct()
     t = table(spark, sf, "orders").groupBy(F.floor("o_totalprice").alias("key")).agg(F.max("o_orderkey").alias("value"))
-    return reads.floor_lookup(t, probes, buckets=list(range(10_000, 500_000, 10_000)))
+    return reads.floor_lookup(t, probes, buckets=reads.edges(t, 64))
+
+
+@query(f"{LIVE} SELECT * FROM live")
+def page_dict_roundtrip(spark, sf):
+    """The state as dictionaries of up to ten keys, and as pairs again."""
+    return reads.dict_entries(reads.dict_build(live(spark, sf).select("key", "value"), F.substring("key", 1, 11)))
+
+
+@query(f"{LIVE}, wanted AS (SELECT DISTINCT lpad(CAST(o_custkey AS VARCHAR), 12, '0') AS key FROM orders) SELECT w.key, l.value FROM wanted w LEFT JOIN live l USING (key)")
+def page_dict_find(spark, sf):
+    """Many keys sought in dictionaries of up to a hundred keys, by bisection."""
+    by = F.substring("key", 1, 10)
+    return reads.dict_find(reads.dict_build(live(spark, sf).select("key", "value"), by), table(spark, sf, "orders").select(padded_key(F.col("o_custkey")).alias("key")).distinct(), by)
+
+
+@query("SELECT name, TRY_CAST(nullif(regexp_extract(name, '^[^0-9]+-([0-9]+)\\.data$', 1), '') AS INT) AS level FROM (SELECT concat('A-', n_nationkey, '.data') AS name FROM nation UNION ALL SELECT n_name FROM nation)")
+def parse_level(spark, sf):
+    n = table(spark, sf, "nation")
+    names = n.select(F.concat(F.lit("A-"), "n_nationkey", F.lit(".data")).alias("name")).union(n.select("n_name"))
+    return names.select("name", level_of(F.col("name")).alias("level"))
 
 
 @query(f"{LIVE} SELECT min(key) AS key FROM live")
@@ -278,7 +324,7 @@ def raw_versions_scan(spark, sf):
 
 @query(f"WITH {CHG} SELECT seq % 8 AS run, count(*) AS changes, count(*) FILTER (is_delete) AS deletes, min(key) AS low, max(key) AS high, CAST(sum(length(key) + 8) AS BIGINT) AS bytes FROM chg GROUP BY 1")
 def run_stats(spark, sf):
-    return changes(spark, sf).groupBy((F.col("seq") % 8).alias("run")).agg(F.count(F.lit(1)).alias("changes"), F.count_if("is_delete").alias("deletes"), F.min("key").alias("low"), F.max("key").alias("high"), F.sum(F.length("key") + 8).alias("bytes"))
+    return changes(spark, sf).groupBy((F.col("seq") % 8).alias("run")).agg(F.count(F.lit(1)).alias("changes"), F.count_if("is_delete").alias("deletes"), F.min("key").alias("low"), F.max("key").alias("high"), F.sum(entry_size(F.col("key"), F.lit(8))).alias("bytes"))
 
 
 @query()
@@ -304,7 +350,9 @@ def wal_replay(spark, sf):
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package."""
+    """Give the executors' Python workers this package, once a session."""
+    if getattr(spark.sparkContext, "_keytide_shipped", False):
+        return
     import zipfile
     from pathlib import Path
 
@@ -314,6 +362,7 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f"{root.name}/{f.relative_to(root)}")
     spark.sparkContext.addPyFile(str(archive))
+    spark.sparkContext._keytide_shipped = True
 
 
 @query("SELECT count(*) AS keys, count(*) AS found FROM (SELECT DISTINCT user_id FROM events)")
@@ -323,6 +372,24 @@ def bloom_no_false_negative(spark, sf):
     return blooms.contains(keys, blooms.build(keys, n), n).agg(F.count(F.lit(1)).alias("keys"), F.count_if("maybe").alias("found"))
 
 
+@query("SELECT count(*) AS keys, count(*) AS found FROM (SELECT DISTINCT user_id FROM events)")
+def bloom_encode_decode(spark, sf):
+    """A filter that was written as checksummed binaries and read again still has all keys."""
+    keys = table(spark, sf, "events").select(padded_key(F.col("user_id")).alias("key")).distinct()
+    n = keys.count()
+    again = blooms.decode(blooms.encode(blooms.build(keys, n), n), n)
+    return blooms.contains(keys, again, n).agg(F.count(F.lit(1)).alias("keys"), F.count_if("maybe").alias("found"))
+
+
+@query("SELECT count(*) AS keys, count(*) AS found FROM (SELECT DISTINCT user_id AS k FROM events UNION SELECT -c_custkey FROM customer)")
+def bloom_scalable(spark, sf):
+    """Filters of growing size that take two sets of keys one after the other."""
+    a = table(spark, sf, "events").select(padded_key(F.col("user_id")).alias("key")).distinct()
+    b = table(spark, sf, "customer").select(padded_key(-F.col("c_custkey")).alias("key")).distinct()
+    both = blooms.ScalableBloom(first=64).add(a, a.count()).add(b, b.count())
+    return both.contains(a.union(b)).agg(F.count(F.lit(1)).alias("keys"), F.count_if("maybe").alias("found"))
+
+
 @query(f"{LIVE} SELECT key, value FROM live")
 def stream_ingest_state(spark, sf):
     """The event table as a file stream, folded into a table of newest changes batch by batch."""

@@ -46,3 +46,13 @@ def as_changes(df: DataFrame, *, key: Column, seq: Column, value: Column | None
         key.alias("key"), F.when(~gone, value if value is not None else F.lit(None)).alias("value"), gone.alias("is_delete"), seq.cast("long").alias("seq"),
         (tx_id if tx_id is not None else F.lit(None)).cast("long").alias("tx_id"), (clock + lifetime(key_ttl, store_ttl)).cast("long").alias("expire_at"),
     )
+
+
+def entry_size(key: Column, value_bytes: Column) -> Column:
+    """Bytes of a key and its value."""
+    return F.octet_length(key) + value_bytes
+
+
+def level_of(name: Column) -> Column:
+    """Level of a run that a file name like ``A-12.data`` tells; null for other names."""
+    return F.nullif(F.regexp_extract(name, r"^[^0-9]+-([0-9]+)\.data$", 1), F.lit("")).cast("int")

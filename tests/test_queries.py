@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as e
+from keytide.plans import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -43,9 +44,16 @@ def test_entry(spark):
 
 
 def test_crc_frame(spark, sf):
+    """Length, checksum, end byte and the payload of each frame."""
     import zlib
 
-    for r in e.queries()["crc_frame"](spark, sf).limit(50).collect():
-        f = bytes.fromhex(r.frame)
-        assert int.from_bytes(f[:4], "big") == len(f) - 9 and f[-1] == 0xFF and zlib.crc32(f[8:-1]) == int.from_bytes(f[4:8], "big")
+    log = {r.seq: r for r in catalog.changes(spark, sf, "key").collect()}
+    for r in e.queries()["crc_frame"](spark, sf).limit(200).collect():
+        f, c = bytes.fromhex(r.frame), log[r.seq]
+        key, expiry = c.key.encode(), b"" if c.expire_at is None else c.expire_at.to_bytes(4, "big")
+        tag = (0x81 if c.is_delete else 0x80) + (0 if c.expire_at is None else 4)
+        body = f[8:-1]
+        assert int.from_bytes(f[:4], "big") == len(body) and f[-1] == 0xFF and zlib.crc32(body) == int.from_bytes(f[4:8], "big")
+        head = bytes([tag]) + expiry + (key if c.is_delete else len(key).to_bytes(4, "big") + key)
+        assert body.startswith(head) and (body == head if c.is_delete else float(body[len(head) :]) == c.value)
         assert r.sound and not r.torn_sound
