@@ -14,7 +14,7 @@ shares couldn't be equal otherwise, which is so for texts that hold more than th
 
 All of it is DataFrame functions; texts are read once. What comes to the driver and is sent to tasks again are splitters and
 sums of ranges: about ``shards * (fine + 3 / tolerance)`` rows at any size of the table. Rows are ranked in their range
-in parts of about ``part_rows``, whatever the keys.
+in parts of about ``part_rows``, or of a task's share of all rows if that is less, whatever the keys.
 
 Defined cases: a null text has no bytes and shares a key with empty texts; null ids sort first; repeated
 rows are rows of their own; a long text is one row; ties of size go by key; an empty table gives an empty result. Other
@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from keytide.llm.common import Scratch, documents, text_of
+from keytide.llm.common import Scratch, documents, shuffle_partitions, text_of
 
 
 def range_of(key: Column, splitters: list[int]) -> Column:
@@ -140,8 +140,9 @@ def shard(docs: DataFrame, shards: int = 8, fine: int = 128, per_range: int = 32
     total = base.agg(F.sum("size")).first()[0] or 0
     cuts, ranges = ranges_of(base, total, shards, fine, per_range, tolerance, seed)
     dealt(ranges, total, shards, tolerance)
+    most = max(1, min(part_rows, -(-sum(r.rows for r in ranges) // shuffle_partitions(spark))))
     plan = spark.createDataFrame(
-        [(r.number, -(-r.rows // part_rows), [{"first": a, "shard": s, "slot": n} for a, s, n in r.pieces]) for r in ranges],
+        [(r.number, -(-r.rows // most), [{"first": a, "shard": s, "slot": n} for a, s, n in r.pieces]) for r in ranges],
         "range int, parts int, pieces array<struct<first long, shard int, slot long>>",
     )
     rows = base.withColumn("range", range_of(F.col("h"), cuts)).join(F.broadcast(plan), "range").withColumn("uid", F.monotonically_increasing_id())
