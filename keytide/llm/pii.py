@@ -4,8 +4,8 @@ Strict patterns give the base spans (email, ip, card, phone), which always stay.
 further candidates (written-out addresses, phone numbers without a country code, numbers in the form
 of US social security numbers). On every candidate five labelers vote for (1), against (-1) or not at
 all (0): the strict pattern, a check of its parts (leading digit of a card, address range, a gazetteer of
-top-level domains, the North American form of phone numbers; other country codes get no vote), cue words before it in four languages, signs of something else before it
-(prices, versions, part numbers), and whether it stands alone. Expectation-maximisation over the counts
+top-level domains, one of calling codes, the North American form of phone numbers without a code), cue words before it in
+four languages, signs of something else before it (prices, versions, part numbers), and whether it stands alone. Expectation-maximisation over the counts
 of vote patterns estimates how reliable each labeler is and how likely each pattern is personal data;
 a logistic span classifier is trained on these soft labels and decides about the candidates that are
 not base spans.
@@ -72,6 +72,11 @@ CUES = {
     "ssn": "ssn|social|security|tax|insurance",
 }
 TLDS = ("com", "org", "net", "edu", "gov", "io", "co", "info", "biz", "de", "fr", "es", "uk", "eu", "us", "ch", "at", "example", "test")
+#: Assigned country calling codes (ITU-T E.164), fixed values; behind 1 an area code has to follow.
+CALLING = (
+    "1(?=[2-9][0-9]{9}$)|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|21[12368]|2[2-6][0-9]|29[01789]|35[0-9]|37[0-9]|38[0-35-79]|42[013]|50[0-9]|59[0-9]"
+    "|67[02-9]|68[0-35-9]|69[0-2]|80[08]|85[02356]|87[0-48]|88[0-368]|96[0-8]|97[0-79]|99[2-68]"
+)
 LABELERS = ("strict", "parts", "cue", "other", "alone")
 
 
@@ -118,7 +123,10 @@ PARTS = {
     "email": f"case when lower(regexp_extract(x.x, '([A-Za-z]+)[^A-Za-z]*$', 1)) in {TLDS} then 1 else -1 end",
     "ip": r"case when x.x rlike '^(0|127|255|22[4-9]|23[0-9])\\.' then -1 when x.x rlike '(^|\\.)0[0-9]' then -1 else 1 end",
     "card": f"case when substr({DIGITS}, 1, 1) in ('3', '4', '5', '6') then 1 else -1 end",
-    "phone": f"case when length({DIGITS}) not between 7 and 15 then -1 when {DIGITS} rlike '^1?[2-9][0-9]{{2}}[0-9]{{7}}$' then 1 else 0 end",
+    "phone": (
+        f"case when length({DIGITS}) not between 7 and 15 then -1 when startswith(x.x, '+') then case when {DIGITS} rlike '^(?:{CALLING})' then 1 else -1 end"
+        f" when {DIGITS} rlike '^1?[2-9][0-9]{{2}}[0-9]{{7}}$' then 1 else 0 end"
+    ),
     "ssn": "case when x.x rlike '^(000|666|9)' or x.x rlike '-00-' or x.x rlike '0000$' then -1 else 1 end",
 }
 
