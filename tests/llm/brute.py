@@ -113,6 +113,30 @@ def targets(sizes, weights=(3, 1, 2), budget=1.5, cap=2.0):
     return out
 
 
+def banded(text, part, diagonal, band):
+    """(matched, first word + band - diagonal, last word + 1, last place in the part) of the best local alignment in a band:
+    a match counts 2, any other step -1; of equal scores the first end, then more matches, then the later start."""
+    before, top, best = {}, 0, (0, 0, 0, 0)
+    for i, word in enumerate(part):
+        now = {}
+        for c in range(2 * band + 1):
+            j = diagonal + i - band + c
+            if not 0 <= j < len(text):
+                continue
+            score, matched, first = before.get(c, (0, 0, i + c))
+            same = text[j] == word
+            ways = [(score + (2 if same else -1), matched + same, first)]
+            ways += [(s - 1, m, f) for side, k in ((before, c + 1), (now, c - 1)) if k in side for s, m, f in [side[k]]]
+            if max(ways)[0] > 0:
+                now[c] = max(ways)
+        if now and max(v[0] for v in now.values()) > top:
+            top = max(v[0] for v in now.values())
+            c = min(k for k, v in now.items() if v[0] == top)
+            best = (now[c][1], now[c][2], diagonal + i - band + c + 1, i)
+        before = now
+    return best
+
+
 def corpus(seed=3, n=120):
     """Small documents with copies, near copies, shared passages, repeated lines and odd cases."""
     r = random.Random(seed)

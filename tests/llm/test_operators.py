@@ -204,6 +204,16 @@ def test_pii_added_spans_and_redaction(spark):
     assert clean[5].text is None and clean[4].text == "plain" and pii.redact(docs).columns == docs.columns
 
 
+def test_calling_codes():
+    import re
+
+    known = re.compile(f"^(?:{pii.CALLING})")
+    for digits in ("14155550123", "4930123456", "447700900123", "351211234567", "861012345678", "9720312345678", "79161234567", "390612345"):
+        assert known.match(digits), digits
+    for digits in ("0123456789", "1155501234", "155512345", "2101234567", "9991234567", "8391234567", "3841234567"):
+        assert not known.match(digits), digits
+
+
 def test_pii_work_grows_with_matches(spark):
     """Thousands of spans in one text: places and redaction stay right."""
     n = 3000
@@ -453,6 +463,25 @@ def test_license_scan(spark):
     assert not found[3] and not found[4] and not found[5] and len(found[6]) == 2
 
 
+def test_banded_alignment_equals_brute_force():
+    """Parts with words changed, left out and put in, at both ends of the text and in the middle, on diagonals that are off."""
+    rng = np.random.default_rng(8)
+    for _ in range(40):
+        parts = sorted((rng.integers(1, 9, rng.integers(1, 60)) for _ in range(5)), key=len, reverse=True)
+        text = []
+        for p in parts[: rng.integers(1, 5)]:
+            for w in p:
+                roll = rng.random()
+                text += [w] if roll < 0.8 else [9] if roll < 0.86 else [w, 10] if roll < 0.93 else []
+            text += list(rng.integers(20, 29, rng.integers(0, 6)))
+        text = np.array(text, np.uint64)
+        flat, size = np.concatenate(parts).astype(np.uint64), np.array([len(p) for p in parts])
+        diagonal = rng.integers(-20, len(text) + 1, len(parts))
+        got = licenses.align(text, (flat, np.cumsum(size) - size, size), diagonal)
+        for k, p in enumerate(parts):
+            assert tuple(int(g[k]) for g in got) == brute.banded(text.tolist(), p.tolist(), int(diagonal[k]), licenses.BAND)
+
+
 def test_license_bodies_and_parts(spark):
     """Whole texts, bodies without their first paragraph, and notices cut in half."""
     t = licenses.all_templates()
@@ -482,18 +511,55 @@ def test_license_bodies_and_parts(spark):
 
 
 def test_pipeline(spark, sf):
+    """Each stage against brute force over all that the stage before kept."""
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    n = [docs.count()]
+    docs, steps = spark.read.parquet(f"{sf}/documents.parquet"), []
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    verdict = {r.doc_id: r.kept for r in quality.quality_verdicts(docs, labels).collect()}
     for i, (_, stage) in enumerate(p.STAGES):
         out = stage(spark, docs, sf)
+        rows = out.collect()
         if i < len(p.STAGES) - 1:
             assert out.columns == docs.columns
-        rows = out.collect()
-        n.append(len(rows))
+        steps.append((docs.collect(), rows))
         docs = spark.createDataFrame(rows, out.schema)
-    assert n[1] < n[0] and n[2] < n[1] and n[3] == n[2]
+    (raw, good), (_, unique), (_, clean), (_, mixed), (_, packed) = steps
+    # Quality rules: the base rule as defined, and the verdict of the query.
+    assert sorted(good) == sorted(r for r in raw if verdict[r.doc_id]) and len(good) < len(raw)
+    assert not any(brute.quality(r.text)[-1] for r in good)
+    # Near-duplicates: the smallest id of each group of all pairs.
+    group = brute.near([(r.doc_id, r.text) for r in good])
+    assert sorted(unique) == sorted(r for r in good if group[r.doc_id] == r.doc_id) and len(unique) < len(good)
+    # Personal data: no base span is left where one was, other texts and columns stay.
+    was = {r.doc_id: r for r in unique}
+    assert {r.doc_id for r in clean} == set(was)
+    for r in clean:
+        assert not brute.base_spans(r.text) and (r.lang, r.source) == (was[r.doc_id].lang, was[r.doc_id].source)
+        kinds = {k.upper() for k, *_ in brute.base_spans(was[r.doc_id].text)}
+        assert r.text != was[r.doc_id].text if kinds else True
+        assert "<" in r.text or r.text == was[r.doc_id].text
+    # Mixing: rows are those of the stage before, none more than twice, and sources come near their targets.
+    size, copies = {r.doc_id: len(brute.WORD.findall(r.text or "")) for r in clean}, Counter(r.doc_id for r in mixed)
+    assert set(mixed) <= set(clean) and max(copies.values()) <= 2
+    total, taken, largest = Counter(), Counter(), Counter()
+    for r in clean:
+        total[r.source] += size[r.doc_id]
+        taken[r.source] += size[r.doc_id] * copies[r.doc_id]
+        largest[r.source] = max(largest[r.source], size[r.doc_id])
+    goal = brute.targets(total)
+    assert all(abs(taken[s] - goal[s]) <= largest[s] for s in total)
+    # Packing: all words of all rows, gapless in bins that hold no more than they can.
+    words, bins = Counter(), defaultdict(list)
+    for r in packed:
+        words[r.doc_id] += r.words
+        if r.bin is not None:
+            bins[r.bin].append(r)
+    assert words == Counter({i: size[i] * n for i, n in copies.items()})
+    for b in bins.values():
+        b.sort(key=lambda r: r.start)
+        assert [r.start for r in b] == list(np.cumsum([0] + [r.words for r in b])[:-1]) and sum(r.words for r in b) <= packing.CAPACITY
+        assert len(b) == 1 or max(Counter(r.doc_id for r in b).values()) == 1
 
 
 def test_common_counts_and_blocks():
