@@ -269,6 +269,109 @@ def store_levels(spark, sf):
     return s.describe_levels().select("rows", "deletes", "level", key("min_key").alias("low"), key("max_key").alias("high"))
 
 
+def plain(state: DataFrame) -> DataFrame:
+    """Rows of a store with key and value as text and number."""
+    return state.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").cast("double").alias("value"))
+
+
+@query(f"{LIVE} SELECT key, value FROM live")
+def store_reopen(spark, sf):
+    """A compressed store that is closed, opened again under a name, and read by that name as a view."""
+    s = loaded(spark, sf, 2, compression="gzip")
+    s.close()
+    name = f"kv_{uuid.uuid4().hex}"
+    KvStore.open(spark, s.path, {"compression": "gzip"}, name=name)
+    return plain(spark.table(name))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS left_over, true AS refused")
+def store_destroy(spark, sf):
+    """After a store is destroyed nothing of it is left, and it takes no changes."""
+    s = loaded(spark, sf, 1)
+    s.destroy()
+    try:
+        s.put(b"k", b"v")
+        refused = False
+    except ValueError:
+        refused = True
+    fs, path = s._fs(s.path)
+    return spark.createDataFrame([(int(fs.exists(path)), refused)], "left_over long, refused boolean")
+
+
+@query(f"{LIVE} SELECT key, value FROM live WHERE key >= '000000000020' AND key < '000000000060' AND key NOT IN ('000000000030', '000000000040') UNION ALL SELECT * FROM (VALUES ('000000000030', 1.5), ('0000000000405', 2.5)) t(key, value)")
+def store_range_pending(spark, sf):
+    """A range scan sees changes that were gathered and not yet committed: two puts and a delete over the committed state."""
+    s = loaded(spark, sf, 2, sync_seconds=3600.0)
+    s.put(b"000000000030", b"1.5")
+    s.put(b"0000000000405", b"2.5")
+    s.delete(b"000000000040")
+    return plain(s.range(KeyRange("000000000020", "000000000060"), AS_OF))
+
+
+@query(f"{LIVE} SELECT key, value FROM live WHERE key NOT IN ('000000000001', '000000000002') UNION ALL SELECT '000000000001', 3.0")
+def store_transact(spark, sf):
+    """One transaction over a store: of two changes of a key the later one counts."""
+    s = loaded(spark, sf, 1)
+    s.transact([("put", b"000000000001", b"1"), ("put", b"000000000002", b"2"), ("put", b"000000000001", b"3"), ("delete", b"000000000002")])
+    return plain(s.state(AS_OF))
+
+
+@query(f"{LIVE} SELECT key, value FROM live WHERE key > '000000000050' ORDER BY key LIMIT 1")
+def store_seek(spark, sf):
+    """The first visible key after a given one; runs and pages that end before it aren't read."""
+    return plain(loaded(spark, sf, 2).range(KeyRange("000000000050", lo_inclusive=False, limit=1), AS_OF))
+
+
+@query(f"""WITH {CHG}, cut AS (SELECT min(seq) + 2 * ((max(seq) - min(seq)) // 4 + 1) AS x FROM chg)
+SELECT key, value FROM (SELECT * FROM chg WHERE seq < (SELECT x FROM cut) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE NOT is_delete""")
+def store_snapshot(spark, sf):
+    """The state of a store as its second of four commits left it."""
+    return plain(loaded(spark, sf, 4, max_runs=9).state(AS_OF, version=2))
+
+
+@query("SELECT (SELECT count(*) FROM events) AS before, CAST(0 AS BIGINT) AS after")
+def store_unmerged(spark, sf):
+    """Rows in levels of more than one run, before and after compaction."""
+    s = loaded(spark, sf, 3, max_runs=9)
+    before = s.unmerged_count()
+    s.compact(AS_OF)
+    return spark.createDataFrame([(before, s.unmerged_count())], "before long, after long")
+
+
+@query("SELECT count(*) AS rows, CAST(0 AS BIGINT) AS descents FROM events")
+def run_key_order(spark, sf):
+    """Files of runs hold their keys in ascending order, as the rows' places in the files show."""
+    from pyspark.sql import Window
+
+    rows = loaded(spark, sf, 2, max_runs=9).changes().select("key", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    before = F.lag("key").over(Window.partitionBy("f").orderBy("i"))
+    return rows.withColumn("b", before).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("b") > F.col("key")).alias("descents"))
+
+
+@query(f"{LIVE} SELECT count(*) AS visible, 1 AS removed FROM live")
+def store_recovery(spark, sf):
+    """A run that was written before its writer stopped, and that no manifest names, isn't read; vacuum deletes it and nothing else."""
+    s = loaded(spark, sf, 2, max_runs=9)
+    s._write_run(s.changes().withColumn("is_delete", F.lit(True)).withColumn("seq", F.col("seq") + 1_000_000_000), 0)
+    again = KvStore.open(spark, s.path, {"max_runs": 9})
+    visible, removed = again.state(AS_OF).count(), len(again.vacuum())
+    return again.state(AS_OF).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == visible).select(F.col("n").alias("visible"), F.lit(removed).alias("removed"))
+
+
+@query(f"{LIVE} SELECT key, value FROM live")
+def store_predictable(spark, sf):
+    """Small levels of which each commit merges one at most, caught up when the store is opened again."""
+    s = loaded(spark, sf, 4, max_runs=2, min_run_rows=16, merge_strategy="predictable")
+    return plain(KvStore.open(spark, s.path, {"max_runs": 2, "min_run_rows": 16}).state(AS_OF))
+
+
+@query(f"{LIVE} SELECT coalesce(max(n), 0) AS seen, max(key) AS last FROM (SELECT key, row_number() OVER (ORDER BY key) AS n FROM live) WHERE n <= 17")
+def fold_until(spark, sf):
+    """A fold by a Python function that stops once it has seen 17 rows."""
+    seen, last = reads.fold_iter(live(spark, sf), KeyRange(), lambda k, v, a: (a[0] + 1, k), (0, None), until=lambda a: a[0] == 17)
+    return spark.createDataFrame([(seen, last)], "seen long, last string")
+
+
 @query(f"WITH {CHG} SELECT key, value FROM (SELECT * FROM chg WHERE seq <= (SELECT (min(seq) + max(seq)) // 2 FROM chg) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE NOT is_delete")
 def snapshot_asof(spark, sf):
     log = changes(spark, sf)
