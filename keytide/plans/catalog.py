@@ -6,6 +6,7 @@ The change log: an event is a change of its user's key; ``error`` is a delete; v
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from keytide.functions.codec import frame, frame_ok, payload
 from keytide.operators import reads, resolve
 from keytide.plans.keyrange import KeyRange
 from keytide.plans.schema import as_changes, composite_key, entry_size, level_of, padded_key
-from keytide.sources.store import KvStore
+from keytide.sources.store import KvStore, Options
 from keytide.streaming import ingest
 
 AS_OF = 1706832000  # 2024-02-02 00:00:00 UTC
@@ -132,6 +133,13 @@ for _name, (_range, _sql) in RANGES.items():
     query(f"{LIVE} SELECT * FROM live WHERE {_sql}")(_scan)
 
 
+@query(f"{LIVE} SELECT key, value, (row_number() OVER (ORDER BY key) - 1) // 30 AS page FROM live WHERE key < '000000000090'")
+def paged_scan(spark, sf):
+    """Pages of 30 rows, each read from after the last key of the one before."""
+    pages = reads.pages(live(spark, sf).select("key", "value"), KeyRange(hi="000000000090"), 30)
+    return spark.createDataFrame([(r.key, r.value, i) for i, p in enumerate(pages) for r in p], "key string, value double, page long")
+
+
 @query("SELECT url AS key, page_id FROM pages WHERE starts_with(url, 'https://www') QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id DESC) = 1")
 def prefix_scan(spark, sf):
     newest = resolve.latest(table(spark, sf, "pages").select(F.col("url").alias("key"), "page_id"), "key", "page_id")
@@ -365,6 +373,40 @@ def store_predictable(spark, sf):
     return plain(KvStore.open(spark, s.path, {"max_runs": 2, "min_run_rows": 16}).state(AS_OF))
 
 
+@query(f"{LIVE} SELECT key, value FROM live")
+def store_merge_budget(spark, sf):
+    """Commits that merge two runs each, as their budget of rows is below any run, and the state behind them."""
+    s = loaded(spark, sf, 4, max_runs=3, merge_strategy="predictable", merge_rows=1)
+    return plain(s.state(AS_OF))
+
+
+@query("SELECT CAST(1 AS BIGINT) AS commits, CAST(2 AS BIGINT) AS rows")
+def store_timed_sync(spark, sf):
+    """Two changes that are gathered are committed together by the timer, without another call."""
+    s = KvStore.open(spark, scratch(spark), {"sync_seconds": 1.0})
+    s.put(b"a", b"1")
+    s.put(b"b", b"2")
+    until = time.monotonic() + 120
+    while not s.versions() and time.monotonic() < until:
+        time.sleep(0.1)
+    m = s.manifest()
+    return spark.createDataFrame([(m.version, sum(r.rows for r in m.runs))], "commits long, rows long")
+
+
+@query("SELECT * FROM (VALUES ('bloom', 'False'), ('max_runs', '7'), ('page_size', '4096'), ('sync_seconds', '2.5')) t(name, value)")
+def session_options(spark, sf):
+    """Options of a store: one given at opening comes before that of the session, and words become the option's type."""
+    given = {"bloom": "false", "max_runs": "5", "page_size": "4096", "sync_seconds": "2.5"}
+    for k, v in given.items():
+        spark.conf.set(f"spark.keytide.{k}", v)
+    try:
+        o = Options.of({"max_runs": 7}, spark)
+    finally:
+        for k in given:
+            spark.conf.unset(f"spark.keytide.{k}")
+    return spark.createDataFrame([(k, repr(getattr(o, k))) for k in given], "name string, value string")
+
+
 @query(f"{LIVE} SELECT coalesce(max(n), 0) AS seen, max(key) AS last FROM (SELECT key, row_number() OVER (ORDER BY key) AS n FROM live) WHERE n <= 17")
 def fold_until(spark, sf):
     """A fold by a Python function that stops once it has seen 17 rows."""

@@ -64,6 +64,8 @@ class Options:
     min_run_rows: int = 1 << 20
     #: "fast" merges what is due at once, "predictable" at most one level for each commit.
     merge_strategy: str = "fast"
+    #: Most rows that "predictable" merges in a commit (two runs at least); 0 sets no bound.
+    merge_rows: int = 0
     #: None commits every change; a number of seconds lets ``put`` and ``delete`` gather changes for that long, after which
     #: a timer commits them.
     sync_seconds: float | None = None
@@ -75,7 +77,7 @@ class Options:
         out = cls(**{k: get_opt(k, options, spark, v) for k, v in asdict(cls()).items()})
         if isinstance(out.sync_seconds, str):
             out.sync_seconds = None if out.sync_seconds.lower() in ("", "none") else float(out.sync_seconds)
-        if out.compression not in ("none", "gzip", "snappy", "lz4") or out.merge_strategy not in ("fast", "predictable") or out.expiry_secs < 0:
+        if out.compression not in ("none", "gzip", "snappy", "lz4") or out.merge_strategy not in ("fast", "predictable") or out.expiry_secs < 0 or out.merge_rows < 0:
             raise ValueError(f"bad options: {out}")
         return out
 
@@ -330,18 +332,28 @@ class KvStore:
     # Merging
 
     def merge_due(self, m: Manifest | None = None, as_of: int | None = None) -> Manifest:
-        """Merge the runs of each level that holds ``max_runs`` into one (of one level only if "predictable")."""
+        """Merge the runs of each level that holds ``max_runs`` into one (of one level only if "predictable", and of its oldest
+        runs only so many as ``merge_rows`` lets it)."""
         m = m or self.manifest()
         level = 0
         while level <= max((r.level for r in m.runs), default=-1):
             due = [r for r in m.runs if r.level == level]
             if len(due) >= self.opts.max_runs:
-                m = self._merge(m, due, level, as_of)
+                m = self._merge(m, self._within_budget(due), level, as_of)
                 if self.opts.merge_strategy == "predictable":
                     break
             level += 1
         return m
 
+    def _within_budget(self, due: list[Run]) -> list[Run]:
+        if self.opts.merge_strategy != "predictable" or not self.opts.merge_rows:
+            return due
+        due, n, rows = sorted(due, key=lambda r: r.min_seq), 0, 0
+        while n < len(due) and (n < 2 or rows + due[n].rows <= self.opts.merge_rows):
+            rows += due[n].rows
+            n += 1
+        return due[:n]
+
     def compact(self, as_of: int | None = None) -> Manifest:
         """Merge all runs into one, without deletes and expired changes."""
         self.flush()

@@ -347,3 +347,18 @@ def test_plans(spark, sf):
     plan = resolve.state(log, 0).where("key = 7")._jdf.queryExecution().toString()
     assert "EqualTo(user_id,7)" in plan
     assert "TakeOrderedAndProject" in reads.scan(resolve.state(changes(spark, sf), 0), KeyRange(limit=5))._jdf.queryExecution().toString()
+
+
+def test_merge_budget(spark, tmp_path):
+    """A commit merges the oldest runs of a level as far as the budget of rows goes, two at least; nothing older comes back."""
+    s = KvStore.open(spark, str(tmp_path / "s"), {"max_runs": 4, "merge_strategy": "predictable", "merge_rows": 5})
+    for i in range(3):
+        s.transact([("put", b"a", b"%d" % i), ("put", b"b%d" % i, b"x")])
+    s.transact([("delete", b"a"), ("put", b"c", b"y")])
+    runs = s.manifest().runs
+    # Of four runs of two rows the two oldest make one of three rows (a counts once).
+    assert sorted(r.rows for r in runs) == [2, 2, 3] and min(runs, key=lambda r: r.min_seq).rows == 3
+    assert s.get(b"a") is None and {bytes(r.key) for r in s.state().collect()} == {b"b0", b"b1", b"b2", b"c"}
+    assert s._within_budget(list(runs)) == sorted(runs, key=lambda r: r.min_seq)[:2]
+    with pytest.raises(ValueError):
+        KvStore.open(spark, str(tmp_path / "t"), {"merge_rows": -1})
