@@ -1,5 +1,6 @@
 """Queries of the corpus operators, and their SQL where it can express them."""
 
+from keytide.llm import oracles
 from keytide.llm.embeddings import op2_embedding_dedup
 from keytide.llm.licenses import op6_license_scan
 from keytide.llm.minhash import op9_minhash
@@ -18,5 +19,5 @@ QUERIES = {
         op6_license_scan, op7_pii, op8_suffix_dedup, op9_minhash, op10_sharding,
     )
 }
-#: The operators hash, sample, train or pack; each is tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+#: The others train, sample, pack or encode, or leave a choice open; all are tested against brute force in tests/llm.
+ORACLES: dict[str, str] = oracles.ORACLES
