@@ -112,13 +112,23 @@ def parse(data: bytes) -> Iterator[Change | None]:
             broken = True
 
 
+#: Bits of a filter's block at most; all bits of a key are in one block.
+BLOOM_BLOCK = 32_768
+
+
 def bloom_bits(count: int, error: float = 0.01) -> tuple[int, int]:
-    """Bits and hashes of a filter for ``count`` keys."""
+    """Bits and hashes of a filter for ``count`` keys. The bits make blocks of one size."""
     import math
 
     bits = max(64, math.ceil(-count * math.log(error) / math.log(2) ** 2))
-    return bits, max(1, round(bits / max(count, 1) * math.log(2)))
+    blocks = -(-bits // BLOOM_BLOCK)
+    return -(-bits // blocks) * blocks, max(1, round(bits / max(count, 1) * math.log(2)))
+
+
+def bloom_block(key: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit("block")), blocks)
 
 
-def bloom_positions(key: Column, bits: int, hashes: int) -> Column:
-    return F.array_distinct(F.array(*(F.pmod(F.xxhash64(key, F.lit(i)), F.lit(bits)) for i in range(hashes))))
+def bloom_positions(key: Column, width: Column, hashes: Column) -> Column:
+    """Where the key's bits are in its block of ``width`` bits."""
+    return F.transform(F.sequence(F.lit(0), hashes - 1), lambda i: F.pmod(F.xxhash64(key, i), width.cast("long")))

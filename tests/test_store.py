@@ -202,6 +202,40 @@ def test_bloom_as_binary_and_growing(spark):
     assert grown.contains(other).where("maybe").count() < 3000 * 0.03
 
 
+def test_bloom_bits(spark):
+    """The blocks have the bits of their keys and no others, and a key is found just when all of its bits are set."""
+    keys = spark.range(12000).select(F.col("id").cast("string").alias("key"))
+    other = spark.range(20000, 32000).select(F.col("id").cast("string").alias("key"))
+    (bits, hashes), b = codec.bloom_bits(12000), bloom.build(keys.union(keys), 12000)
+    blocks = -(-bits // codec.BLOOM_BLOCK)
+    at = lambda k: k.select("key", codec.bloom_block(F.col("key"), F.lit(blocks)).alias("block"), codec.bloom_positions(F.col("key"), F.lit(bits // blocks), F.lit(hashes)).alias("bits")).collect()
+    want = {(r.block, p) for r in at(keys) for p in r.bits}
+    assert blocks == 4 and {(r.bucket, p) for r in b.collect() for p in range(8 * len(r.bitmap)) if r.bitmap[p // 8] >> p % 8 & 1} == want
+    got = {r.key: r.maybe for r in bloom.contains(other.union(other), b, 12000).collect()}
+    assert got == {r.key: all((r.block, p) in want for p in r.bits) for r in at(other)} and 0 < sum(got.values()) < 12000 * 0.015
+    # A binary of the form without the bits of a block, whose keys are elsewhere, isn't taken for a filter.
+    former = bloom.encode(b, 12000).select(codec.frame(F.expr("concat(substring(encoded, 9, 12), substring(encoded, 25, 4104))")).alias("encoded"))
+    with pytest.raises(Exception, match="a broken filter"):
+        bloom.decode(former, 12000).collect()
+
+
+def test_growing_bloom_tests_a_key_once_an_add(spark):
+    """However many slices an add takes, its keys are dealt once to be added and once to be tested, and over small filters evenly."""
+    keys = spark.range(20000).select(F.col("id").cast("string").alias("key"))
+    plans = []
+    for first in (1, 1 << 16):
+        grown = bloom.ScalableBloom(first=first).add(keys.where("key < 300"), 300).add(keys, 20000)
+        assert grown.contains(keys).where("not maybe").count() == 0
+        other = spark.range(50000, 70000).select(F.col("id").cast("string").alias("key"))
+        assert grown.contains(other).where("maybe").count() < 20000 * 0.01
+        plans.append(grown.contains(keys)._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+    assert plans[0] == plans[1]
+    small = bloom.ScalableBloom(first=64).add(keys.where("key < 300"), 300)
+    assert sum(len(g) for _, g in small.groups) == 3
+    most = bloom._dealt(keys, [g for _, g in small.groups]).groupBy("slice", "bucket", "copy").count().agg(F.max("count")).first()[0]
+    assert most < 20000 * 0.02
+
+
 def test_page_dictionaries(spark):
     pairs = spark.createDataFrame([(i, str(i)) for i in range(0, 400, 3)] + [(9, "z")], "key long, value string")
     by = F.floor(F.col("key") / 50)
